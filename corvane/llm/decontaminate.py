@@ -74,7 +74,7 @@ def item_shingles(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE
 def bitmap(shingles: DataFrame, size: int = BITMAP_BYTES) -> bytes:
     """The fixed-size bitmap of a shingle column ``sh``; at most ``size`` bytes reach the driver."""
     bit = F.col("sh").bitwiseAND(F.lit(size * 8 - 1))
-    rows = shingles.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(sh & 31L AS INT))")).alias("bits")).collect()
+    rows = shingles.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(sh & 31L AS INT))")).alias("bits")).collect()
     out = np.zeros(size // 4, "<u4")
     for r in rows:
         out[r.word] = r.bits
@@ -123,7 +123,7 @@ def _candidates(bits: bytes, sizes: list[int], window: int):
                     a, b = int(w.first[t]), int(w.first[t + 1])
                     begin, end = max(a, p - (window - size)), min(b, p + window)
                     found[t].append({"sh": sh, "pos": p - a, "left": p - begin, "around": w.text(begin, end)})
-            yield pa.record_batch([rows.column("rid"), rows.column("doc_id"), pa.array(np.diff(w.first).astype(np.int64)), pa.array(found, pa.list_(pa.struct([("sh", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("around", pa.string())])))], ["rid", "doc_id", "n_words", "found"])
+            yield pa.record_batch([rows.column("rid"), rows.column("doc"), pa.array(np.diff(w.first).astype(np.int64)), pa.array(found, pa.list_(pa.struct([("sh", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("around", pa.string())])))], ["rid", "doc", "n_words", "found"])
 
     return run
 
@@ -147,23 +147,23 @@ def _verify(batches):
                     begin, end = pos - left + lo, pos - left + hi
             begins.append(begin)
             ends.append(end)
-        yield pa.record_batch([batch.column("rid"), batch.column("doc_id"), batch.column("n_words"), batch.column("item_id"), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["rid", "doc_id", "n_words", "item_id", "begin", "end"])
+        yield pa.record_batch([batch.column("rid"), batch.column("doc"), batch.column("n_words"), batch.column("item_id"), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["rid", "doc", "n_words", "item_id", "begin", "end"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """A row for each document: ``rid, doc_id, n_words, spans`` (word ranges that items cover, merged) and ``items``."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, key: Column | None = None) -> DataFrame:
+    """A row for each document: ``rid, doc_id, key, n_words, spans`` (word ranges that items cover, merged) and ``items``."""
     shingles = materialize(item_shingles(items, window, shingle), "items")
     sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())  # at most ``shingle`` of them
     index = materialize(prefixes(shingles, shingle_counts(docs, bitmap(shingles), sizes), window, shingle), "prefixes")
     bits = bitmap(index)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_candidates(bits, sizes, window), "rid long, doc_id long, n_words long, found array<struct<sh: long, pos: int, left: int, around: string>>")
-    one = found.select("rid", "doc_id", "n_words", F.explode_outer("found").alias("c")).select("rid", "doc_id", "n_words", F.coalesce("c.sh", F.xxhash64("rid")).alias("sh"), "c.pos", "c.left", "c.around")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0) if key is None else key).cast("long").alias("key")).alias("doc"), F.col("text").cast("string").alias("text"))
+    found = rows.mapInArrow(_candidates(bits, sizes, window), "rid long, doc struct<doc_id: long, key: long>, n_words long, found array<struct<sh: long, pos: int, left: int, around: string>>")
+    one = found.select("rid", "doc", "n_words", F.explode_outer("found").alias("c")).select("rid", "doc", "n_words", F.coalesce("c.sh", F.xxhash64("rid")).alias("sh"), "c.pos", "c.left", "c.around")
     index = index.select("sh", "item_id", "needs", "size", F.col("left").alias("item_left"), F.col("around").alias("item_around"))
-    joined = one.join(index, "sh", "left").mapInArrow(_verify, "rid long, doc_id long, n_words long, item_id string, begin int, end int")
+    joined = one.join(index, "sh", "left").mapInArrow(_verify, "rid long, doc struct<doc_id: long, key: long>, n_words long, item_id string, begin int, end int")
     held = F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))
-    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(held)).alias("spans"), F.array_sort(F.collect_set(F.when(F.col("begin").isNotNull(), F.col("item_id")))).alias("items"))
-    return out.withColumn("spans", merged("spans"))
+    out = joined.groupBy("rid").agg(F.max("doc").alias("doc"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(held)).alias("spans"), F.array_sort(F.collect_set(F.when(F.col("begin").isNotNull(), F.col("item_id")))).alias("items"))
+    return out.select("rid", "doc.doc_id", "doc.key", "n_words", merged("spans").alias("spans"), "items")
 
 
 def merged(spans: str) -> Column:
@@ -176,12 +176,13 @@ def merged(spans: str) -> Column:
     )
 
 
-def decisions(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def decisions(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, key: Column | None = None) -> DataFrame:
     """Counts for each document, and whether items cover a twentieth of its words or more."""
     hit = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.begin)")
-    return contamination(docs, items, window, shingle).select(
+    return contamination(docs, items, window, shingle, key).select(
         "rid",
         "doc_id",
+        "key",
         "n_words",
         hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -190,3 +191,15 @@ def decisions(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
         "spans",
         "items",
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The documents, all columns, that aren't contaminated.
+
+    A decision depends on the text alone, so a document is told by its id and the
+    hash of its text, and repeated rows share their fate.
+    """
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bad = decisions(marked, items, window, shingle, key=text).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (text == F.col("bad_key")), "left_anti")

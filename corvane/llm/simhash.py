@@ -22,8 +22,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .tables import materialize
@@ -146,16 +147,38 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
+def classes(rows: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """``fp, low, root`` for each distinct fingerprint of ``doc_id, fp`` rows: its smallest id, and its component."""
+    vertices = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = components(links(vertices, distance, blocks))
+    return vertices.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of documents."""
     rows = materialize(fingerprints(docs), "fingerprints")
-    vertices = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(vertices, distance, blocks))
-    of = vertices.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of = classes(rows, distance, blocks)
     ids = of.groupBy("root").agg(F.min("low").alias("component_id"))
     named = of.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """The documents, all columns, of which one of each component stays: the one of the smallest id."""
+    columns = docs.columns
+
+    def marked(batches):
+        for rows, data, offsets in K.chunks(batches):
+            yield pa.record_batch([*rows.columns, pa.array(simhashes(data, offsets).view(np.int64))], [*columns, "corvane_fp"])
+
+    rows = materialize(fingerprints(docs), "fingerprints")
+    best = classes(rows, distance, blocks).groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("best"))
+    best = best.select(F.col("best.low").alias("corvane_id"), F.col("best.fp").alias("corvane_key"))
+    full = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("corvane_fp", T.LongType())]))
+    kept = full.join(best, (F.col("corvane_fp") == F.col("corvane_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("corvane_id")))
+    first = Window.partitionBy("corvane_key", "corvane_id").orderBy("corvane_key")
+    return kept.withColumn("corvane_n", F.row_number().over(first)).where("corvane_n = 1").select(*columns)
+
+
 def hex16(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
