@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lmscore, packing, secrets, simhash, toxicity
+from . import ann, decontaminate, licenses, lmscore, packing, secrets, simhash, toxicity
 from .tables import read
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_samples(spark)))
 
@@ -40,6 +44,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
     "op3_secrets": op3_secrets,
     "op4_pack": op4_pack,
     "op5_lm_score": op5_lm_score,
