@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, licenses, lmscore, packing, secrets, simhash, toxicity
+from . import ann, decontaminate, licenses, lmscore, packing, quality, secrets, simhash, tokencount, toxicity
 from .tables import read
 
 
@@ -14,6 +14,10 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(read(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_samples(spark)))
 
@@ -26,6 +30,11 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(read(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -45,9 +54,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
+    "op2_token_counts": op2_token_counts,
     "op3_secrets": op3_secrets,
     "op4_pack": op4_pack,
     "op5_lm_score": op5_lm_score,
+    "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_licenses": op8_licenses,
     "op9_decontaminate": op9_decontaminate,
