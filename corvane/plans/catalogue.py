@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import norm, unit
 from ..operators import audit, bootstrap, encode, exclusion, geometry, sampling, scoring, stats
-from . import views
+from . import flows, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = scoring.KEYS
@@ -333,6 +333,12 @@ def interaction_contrast(spark, sf):
     return rounded(out.withColumn("verdict", stats.contrast_verdict(F.col("lo"), F.col("hi"))), "boot_mean", "lo", "hi")
 
 
+@query
+def scoring_sensitivity(spark, sf):
+    q, d = views.varied(spark, sf)
+    return rounded(flows.sensitivity(q, d, views.item_scopes(spark), ("maxsim", "mean", "single-random")), *stats.TERMS)
+
+
 # --- bootstrap
 
 

@@ -131,6 +131,21 @@ def doc_frequency(src: str) -> str:
 
 KEY_OF = lambda c: KEY.replace("(text)", f"({c})")
 
+def _sensitivity() -> str:
+    """Three policies side by side: their windows differ, and the rest is the same."""
+    parts = {
+        "maxsim": "SELECT * FROM d9",
+        "mean": f"SELECT {K3}, doc_idx, 0 AS chunk_no, {unit('v')} AS v FROM ({mean_v(K3 + ', doc_idx', 'd9')})",
+        "single-random": f"SELECT {K3}, doc_idx, chunk_no, v FROM (SELECT *, row_number() OVER (PARTITION BY {K3}, doc_idx ORDER BY chunk_no) - 1 AS place, {draw(42, 'site', 'genre', 'model', 'doc_idx')} % count(*) OVER (PARTITION BY {K3}, doc_idx) AS drawn FROM d9) WHERE place = drawn",
+    }
+    ctes, means = [VARIED.replace("d AS (", "d9 AS (")], []
+    for i, (policy, windows) in enumerate(parts.items()):
+        ctes += [f"w{i} AS ({windows})", SCORES.replace("s AS (", f"s{i} AS (").replace("JOIN d ON", f"JOIN w{i} d ON"), ranks_sql(f"s{i}", f"rk{i}_")]
+        means.append(f"SELECT '{policy}' AS policy, {K3}, avg(rr) AS mrr FROM rk{i}_ GROUP BY ALL")
+    verdict = "CASE WHEN genre >= 0.3 AND genre >= model THEN 'survives' WHEN genre >= 0.25 THEN 'comparable' ELSE 'collapses' END AS verdict"
+    return f"WITH {', '.join(ctes)}, {SCOPES}, c AS ({' UNION ALL '.join(means)}), m AS (SELECT scopes.scope, c.* FROM c JOIN scopes USING (model)), {decompose('policy, scope')} SELECT policy, scope, {rounded(*TERMS.split(', '))}, {verdict} FROM de"
+
+
 ORACLE_SQL = {
     "note_scan_min_chars": "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE length(text) >= 400",
     "note_era_share": f"""WITH {NOTES} SELECT site, genre, min(year) AS min_year, max(year) AS max_year, quantile_cont(year, 0.5)::DOUBLE AS median_year, round(avg((year BETWEEN 2008 AND 2019)::INT), 6) AS share_era,
@@ -199,6 +214,7 @@ SELECT {K3}, {rounded('floor', 'high')}, round(high - floor, 6) AS slope, round(
     "topk_overlap": f"WITH {MEANS}, {SCOPES}, {SCOPED}, {overlap('scope')} SELECT scope, genre, {rounded('top3', 'top5')} FROM ov",
     "selection_regret": f"WITH {MEANS}, {SCOPES}, {SCOPED}, {regret('scope')} SELECT scope, genre, source, destination, picked, best, round(regret, 6) AS regret FROM reg",
     "variance_decomp": f"WITH {MEANS}, {SCOPES}, {SCOPED}, {decompose('scope')} SELECT scope, {rounded(*TERMS.split(', '))} FROM de",
+    "scoring_sensitivity": _sensitivity(),
     "interaction_contrast": f"""WITH {RANKS}, {boot()}, m AS (SELECT replicate, {K3}, rr AS mrr FROM bm), {decompose('replicate')}, v AS (SELECT 'contrast' AS term, model_x_site - model_x_genre AS value FROM de),
 i AS ({interval('term', 'value', 'v')}), j AS (SELECT quantile_cont(value, 0.025) AS lo9, quantile_cont(value, 0.975) AS hi9 FROM v)
 SELECT i.*, CASE WHEN lo9 > 0 THEN 'site larger' WHEN hi9 < 0 THEN 'genre larger' ELSE 'undecided' END AS verdict FROM i, j""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,3 +75,12 @@ def write_mrr_json(cells: DataFrame, path: str) -> None:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The model manifest; blanks are empty strings, so that prefixes can be put before texts."""
     return spark.read.csv(path, header=True, inferSchema=False, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).na.fill("")
+
+
+def stored_vectors(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table of vectors at ``path``; made and written first if it isn't there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.parquet(path)
+        return spark.read.parquet(path)
