@@ -187,7 +187,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     schema = PIECE + ", ids array<int>" * with_ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = materialize(rows.mapInArrow(_pieces(capacity, end_id, vocabulary, ranks, with_ids), schema), "pieces")
-    by_task = materialize(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
+    by_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = pieces.join(by_task.select("length", "part", before.alias("before")), ["length", "part"]).withColumn("number", F.col("before") + F.col("nth"))
