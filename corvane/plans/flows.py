@@ -77,8 +77,8 @@ def evaluate(items: DataFrame, models: DataFrame, encoders: dict[str, tuple[Call
 def statistics(ranks: DataFrame, models: DataFrame, replicates: int = bootstrap.REPLICATES, seed: int = bootstrap.SEED) -> dict[str, DataFrame]:
     """Ranks to tables: means and hits, and point values with joint bootstrap intervals of correlation, overlap, regret and variance shares."""
     scopes, by = scopes_of(models), ["scope", "replicate"]
-    point = stats.with_scope(scoring.cell_means(ranks), scopes)
-    boot = stats.with_scope(bootstrap.boot_means(ranks, replicates, seed).withColumnRenamed("rr", "mrr"), scopes)
+    point = stats.with_scope(scoring.cell_means(ranks), scopes).persist()
+    boot = stats.with_scope(bootstrap.boot_means(ranks, replicates, seed).withColumnRenamed("rr", "mrr"), scopes).persist()  # several tables read both
     order = models.select("model", "panel_ord")
     shares = stats.decompose(stats.complete(boot, by), by)
     return {
