@@ -14,6 +14,8 @@ documents give no rows, and a model that has seen none scores one half.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,20 +37,26 @@ _space = ~K.TOKEN
 _stop = np.isin(_code, np.frombuffer(b".!?", np.uint8))
 _symbol = ~_letter & ~_digit & ~_space
 #: Kinds of bytes: lower, upper, other letter, digit, space, line end, stop, comma, bar, other.
-_kind = np.select([_upper, _code >= 0x80, _letter, _digit, _code == 0x0A, _space, _stop, _code == 0x2C, _code == 0x7C], [1, 2, 0, 3, 5, 4, 6, 7, 8], 9).astype(np.int64)
+_kind = np.select([_upper, _code >= 0x80, _letter, _digit, _code == 0x0A, _space, _stop, _code == 0x2C, _code == 0x7C], [1, 2, 0, 3, 5, 4, 6, 7, 8], 9).astype(np.int32)
+
+
+def _kinds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text, how many bytes of each kind it has."""
+    texts = len(offsets) - 1
+    of = np.repeat(np.arange(texts, dtype=np.int32) * 16, np.diff(offsets))
+    return np.bincount(of + _kind[data], minlength=texts * 16).reshape(texts, 16)
 
 
-def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+def _sums(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(flags)])[first])
 
 
 def _distinct(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Distinct hashes of each text."""
-    of = K.owner(first)
-    order = np.lexsort((hashes, of))
-    h, o = hashes[order], of[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])) if len(h) else np.zeros(0, bool)
-    return np.bincount(o[new], minlength=len(first) - 1)
+    """Distinct hashes of each text, told apart by 44 bits."""
+    texts = len(first) - 1
+    keys = np.sort((K.owner(first).astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
+    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    return np.bincount((keys[new] >> np.uint64(44)).astype(np.int64), minlength=texts)
 
 
 def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -57,24 +65,25 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = np.diff(w.first)
     some = np.maximum(n, 1)
     share = lambda x, y: x / np.maximum(y, 1)
-    capitals = share(_per_text(_upper[data], offsets), _per_text(_letter[data], offsets))
-    ink = _per_text(~_space[data], offsets)
-    symbols, bars = share(_per_text(_symbol[data], offsets), ink), share(_per_text(data == 0x7C, offsets), ink)
-    size = share(np.diff(np.concatenate([[0], np.cumsum(w.lens)])[w.first]), some)
+    kinds = _kinds(data, offsets)
+    letters, ink = kinds[:, :3].sum(axis=1), kinds.sum(axis=1) - kinds[:, 4] - kinds[:, 5]
+    capitals, symbols, bars = share(kinds[:, 1], letters), share(kinds[:, 6:].sum(axis=1), ink), share(kinds[:, 8], ink)
+    size = share(_sums(w.lens, w.first), some)
     h = K.xxh64(w.data, w.starts, w.lens)
     variety = share(_distinct(h, w.first), some)
     line_kind = np.ones(256, bool)
     line_kind[0x0A] = False
     lines = K.words(data, offsets, line_kind)
     n_lines = np.diff(lines.first)
-    repeated = 1 - share(_distinct(K.xxh64(lines.data, lines.starts, lines.lens), lines.first), n_lines)
-    same = np.zeros(len(data), bool)
-    if len(data) > 2:
-        same[2:] = (data[2:] == data[1:-1]) & (data[2:] == data[:-2]) & _symbol[data[2:]]
-    runs = share(_per_text(same, offsets), some)
+    ends = lines.starts + lines.lens
+    crc = np.fromiter((crc32(lines.data[a:b]) for a, b in zip(lines.starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends))
+    repeated = 1 - share(_distinct(K.mix(crc), lines.first), n_lines)
+    same = np.flatnonzero((data[2:] == data[1:-1]) & (data[2:] == data[:-2]))
+    same = same[_symbol[data[same]]]
+    runs = share(np.diff(np.searchsorted(same, offsets)), some)
     echo = np.append(h[1:] == h[:-1], False)
-    echoes = share(np.diff(np.concatenate([[0], np.cumsum(echo)])[w.first]), some)
-    stops = share(_per_text(_stop[data], offsets), some)
+    echoes = share(_sums(echo, w.first), some)
+    stops = share(kinds[:, 6], some)
     pick = lambda bad, good: np.where(bad, BAD, np.where(good, GOOD, NONE))
     never = np.zeros(len(n), bool)
     return np.stack(
@@ -97,12 +106,17 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each text, square roots of the shares of its hashed trigrams of byte kinds."""
     texts = len(offsets) - 1
+    if len(data) < 3:
+        return np.zeros((texts, BUCKETS), np.float32)
     k = _kind[data]
-    gram = (k[:-2] * 100 + k[1:-1] * 10 + k[2:]) % BUCKETS if len(k) > 2 else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(texts), np.diff(offsets))
-    inside = of[:-2] == of[2:] if len(k) > 2 else np.zeros(0, bool)
-    counts = np.bincount(of[:-2][inside] * BUCKETS + gram[inside], minlength=texts * BUCKETS).reshape(texts, BUCKETS) if len(k) > 2 else np.zeros((texts, BUCKETS))
-    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    gram = k[:-2] * 100 + k[1:-1] * 10 + k[2:]
+    of = np.repeat(np.arange(texts, dtype=np.int32), np.diff(offsets))
+    at = of[:-2] * BUCKETS + gram % BUCKETS
+    cut = np.unique(np.concatenate([offsets[1:-1] - 1, offsets[1:-1] - 2]))  # trigrams that cross into the next text
+    keep = np.ones(len(at), bool)
+    keep[cut[(cut >= 0) & (cut < len(at))]] = False
+    counts = np.bincount(at[keep], minlength=texts * BUCKETS).reshape(texts, BUCKETS).astype(np.float32)
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
 
 
 def _vote_patterns(with_grams: bool):
