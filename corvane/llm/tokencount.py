@@ -83,12 +83,12 @@ class Automaton:
 
 
 def pieces(path: str = VOCABULARY) -> tuple[list[str], list[str]]:
-    """Lower-case beginnings and continuations of words of a sentence-piece file."""
+    """Beginnings and continuations of words of a sentence-piece file, without A-Z, which no lower-cased text has."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    names = [p for p in names if p == p.lower()]
+    names = [p for p in names if not any("A" <= c <= "Z" for c in p)]
     return [p[1:] for p in names if p.startswith(MARK) and len(p) > 1], [p for p in names if MARK not in p]
 
 

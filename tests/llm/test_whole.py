@@ -1,8 +1,14 @@
 """Cases in which an operator once did less than the whole job."""
 
+import re
+
 import numpy as np
+import public_tokenizers
+
+from corvane.llm import ann, tokencount
 
-from corvane.llm import ann
+from . import brute
+from .test_models import counted
 
 
 # --- nearest neighbours
@@ -36,3 +42,21 @@ def test_rings_connect_every_node(spark):
     for a, b in ann.rings(ids, 3000).collect():
         root[find(a)] = find(b)
     assert len({find(i) for i in range(3000)}) == 1
+
+
+# --- token counts
+
+
+def test_pieces_with_other_capitals_are_kept(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    names = [p for p in names if not re.search("[A-Z]", p)]
+    begin, more = {p[1:] for p in names if p[0] == "▁" and len(p) > 1}, {p for p in names if "▁" not in p}
+    capitals = sorted(p for p in begin if p != p.lower() and brute.words(p) == [p])
+    assert capitals
+    docs = list(enumerate([*capitals, " ".join(capitals), "École ÉCOLE école Москва МОСКВА Über"]))
+    got = brute.rows(tokencount.token_counts(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "n_words", "n_tokens", "n_unknown")
+    assert got == sorted(((d, *counted(t, begin, more)) for d, t in docs), key=repr)
+    assert all(n_unknown == 0 for d, _, _, n_unknown in got if d <= len(capitals))
