@@ -1,10 +1,13 @@
 """Secret scans: fixed patterns, and two character Markov models compared by likelihood.
 
-The patterns find assignments, access keys and hex strings. Beyond them, every run
-of at least ``MIN_RUN`` token characters is scored by the mean log-likelihood ratio
-of its character pairs under a model of random strings and one of ordinary
-identifiers; runs above ``THRESHOLD`` are spans of kind ``markov`` where no pattern
-has matched. Both models are pair counts of labelled samples, made by Spark; a
+The patterns find assignments, access keys and hex strings. What they leave of every
+run of token characters is scored by the log-likelihood ratio of its character pairs
+under a model of random strings and one of ordinary identifiers. Pieces of at least
+``MIN_RUN`` characters with a mean above ``THRESHOLD`` are spans of kind ``markov``. Of
+other pieces, so are the stretches of at least ``MIN_STRETCH`` characters whose ratios
+exceed the threshold most in sum, by at least ``EXCESS`` (so that a shorter one needs a
+higher mean), and which mix digits, capitals and small letters; each is extended to the
+next of ``/ = _ -``, so that no end of a key stays. Both models are pair counts of labelled samples, made by Spark; a
 pair table is bounded by the alphabet, whatever the number of samples.
 
 Edge cases: null and empty texts have no spans; repeated rows give a row each; null
@@ -32,6 +35,8 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_RUN = 20
 THRESHOLD = 0.55
+MIN_STRETCH = 16
+EXCESS = 10.0
 #: Characters of a run; the models' alphabet.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 SAMPLES = 20_000
@@ -97,6 +102,8 @@ def train(samples: DataFrame) -> np.ndarray:
 _codes = np.full(256, 255, np.uint8)
 _codes[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 _run = _codes < 255
+_stop = np.zeros(256, bool)
+_stop[np.frombuffer(b"/=_-", np.uint8)] = True
 _hex = np.zeros(256, bool)
 _hex[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
 
@@ -112,15 +119,60 @@ def _long_runs(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, least: i
     return starts[long], ends[long]
 
 
-def _ratios(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """The mean log-likelihood ratio of the pairs of each span."""
-    out = np.zeros(len(starts))
+def _promising(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray, threshold: float) -> np.ndarray:
+    """Which spans may hold a likely piece or stretch; few others are looked at again."""
+    out = np.zeros(len(starts), bool)
     for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
         code = _codes[data[a:b]]
-        out[i] = model[code[:-1], code[1:]].mean()
+        over = model[code[:-1], code[1:]] - threshold
+        out[i] = over.sum() > 0 or np.maximum(over, 0).sum() >= EXCESS or (b - a > MIN_RUN and over.max() > 0)
     return out
 
 
+def _mixed(run: np.ndarray) -> bool:
+    """Whether bytes mix digits, capitals (other than a first one) and small letters."""
+    digit, upper, lower = (run >= 0x30) & (run <= 0x39), (run >= 0x41) & (run <= 0x5A), (run >= 0x61) & (run <= 0x7A)
+    return int(digit.any()) + int(upper[1:].any()) + int(lower.any()) >= 2
+
+
+def _stretches(run: np.ndarray, model: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Spans of a piece of a run that are likely random: the whole of it, or its best stretches."""
+    code = _codes[run]
+    over = model[code[:-1], code[1:]].astype(np.float64) - threshold
+    if len(run) >= MIN_RUN and over.mean() > 0:
+        return [(0, len(run))]
+    stops = np.flatnonzero(_stop[run])
+    out, todo = [], [(0, len(run))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < MIN_STRETCH:
+            continue
+        sums = np.concatenate([[0.0], np.cumsum(over[a : b - 1])])
+        gain = sums - np.minimum.accumulate(sums)
+        last = int(gain.argmax())
+        if gain[last] < EXCESS:
+            continue
+        first = int(sums[: last + 1].argmin())
+        s, e = a + first, a + last + 1
+        left, right = stops[stops < s], stops[stops >= e]
+        s2, e2 = max(a, int(left[-1]) + 1 if len(left) else 0), min(b, int(right[0]) if len(right) else len(run))
+        if e2 - s2 >= MIN_STRETCH and _mixed(run[s:e]):
+            out.append((s2, e2))
+        todo += [(a, s2), (e2, b)]
+    return sorted(out)
+
+
+def _left(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What spans leave of a run."""
+    out, at = [], start
+    for a, b, _ in base:
+        if b > at and a < end:
+            if a > at:
+                out.append((at, a))
+            at = max(at, b)
+    return [*out, (at, end)] if at < end else out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, by start, then kind."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_MIN]
@@ -141,8 +193,8 @@ def _spans(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, threshold:
             t = int(np.searchsorted(offsets, at, "right")) - 1
             flagged.add(t)
             at = low.find(word, max(at + 1, int(offsets[t + 1]) - len(word)))
-    starts, ends = _long_runs(data, offsets, _run, MIN_RUN)
-    likely = _ratios(data, starts, ends, model) > threshold
+    starts, ends = _long_runs(data, offsets, _run, MIN_STRETCH)
+    likely = _promising(data, starts, ends, model, threshold)
     runs: dict[int, list[tuple[int, int]]] = {}
     for a, b in zip(starts[likely].tolist(), ends[likely].tolist(), strict=True):
         runs.setdefault(int(np.searchsorted(offsets, a, "right")) - 1, []).append((a, b))
@@ -156,8 +208,15 @@ def _spans(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, threshold:
             point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
             for a, b in runs[t]:
                 s, e = int(point[a - begin]), int(point[b - begin])
-                if not any(x < e and s < y for x, y, _ in base):
-                    more.append((s, e, "markov"))
+                for x, y in _left(s, e, base):
+                    piece = raw[a - begin + x - s : a - begin + y - s]
+                    if (x, y) != (s, e):  # no separators where a base span has been cut off
+                        keep = np.flatnonzero(~_stop[piece])
+                        if not len(keep):
+                            continue
+                        x, piece = x + int(keep[0]), piece[keep[0] : keep[-1] + 1]
+                    if len(piece) >= MIN_STRETCH:
+                        more += [(x + i, x + j, "markov") for i, j in _stretches(piece, model, threshold)]
         if base or more:
             yield t, text, base, more
 

@@ -1,11 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
 import re
+import string
 
 import numpy as np
 import public_tokenizers
 
-from corvane.llm import ann, tokencount
+from corvane.llm import ann, secrets, tokencount
 
 from . import brute
 from .test_models import counted
@@ -60,3 +62,24 @@ def test_pieces_with_other_capitals_are_kept(spark):
     got = brute.rows(tokencount.token_counts(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "n_words", "n_tokens", "n_unknown")
     assert got == sorted(((d, *counted(t, begin, more)) for d, t in docs), key=repr)
     assert all(n_unknown == 0 for d, _, _, n_unknown in got if d <= len(capitals))
+
+
+# --- secrets
+
+
+def test_random_parts_of_a_run_are_found_and_blanked(spark):
+    model = secrets.train(secrets.labelled_samples(spark))
+    r = random.Random(12)
+    key = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    path = "/".join(r.choice(secrets.PARTS) for _ in range(20))
+    keys, docs = [], []
+    for i in range(100):
+        k = key((40, 40, 40, 16)[i % 4])
+        keys.append(k)
+        docs.append((i, ("see AKIA" + "ABCD2345EFGH6789" + f"/{k} x", "see " + "0123456789abcdef" * 2 + f"-{k} x", f"see {path}/{k} x", f"see {k} x")[i % 4]))
+    plain = [path, "customer_account_identifier", "internationalization", "HttpRequestHandlerFactory", "4012888888881881", "5693240340017844"]
+    docs += [(1000 + i, f"see {t} x") for i, t in enumerate(plain)]
+    got = {x.doc_id: x.text for x in secrets.redact(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for kind, least in enumerate((25, 25, 24, 21)):
+        assert sum(k not in got[i] and "[secret] x" in got[i] for i, k in enumerate(keys) if i % 4 == kind) >= least, kind
+    assert all(got[d] == t for d, t in docs if d >= 1000)
