@@ -7,7 +7,7 @@ import string
 import numpy as np
 import public_tokenizers
 
-from corvane.llm import ann, secrets, tokencount
+from corvane.llm import ann, lmscore, secrets, tokencount
 
 from . import brute
 from .test_models import counted
@@ -83,3 +83,13 @@ def test_random_parts_of_a_run_are_found_and_blanked(spark):
     for kind, least in enumerate((25, 25, 24, 21)):
         assert sum(k not in got[i] and "[secret] x" in got[i] for i, k in enumerate(keys) if i % 4 == kind) >= least, kind
     assert all(got[d] == t for d, t in docs if d >= 1000)
+
+
+# --- language model
+
+
+def test_as_many_tokens_have_a_softmax_of_their_own(spark):
+    counts = spark.range(5000).selectExpr("id as h", "10000 - id as n")
+    v = lmscore.vocabulary(counts)
+    assert (v.place >= 0).sum() == 48 * 64
+    assert len(np.unique(v.classes)) >= 48
