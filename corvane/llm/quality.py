@@ -4,12 +4,15 @@ Each labeller votes good, bad or not at all on a document. Expectation-maximisat
 estimates how often each votes what for good and for bad documents, from the counts
 of vote patterns, of which there are at most three to the number of labellers. The
 posterior of a document's pattern is its weak label, and weak labels of a bounded
-sample (``MAX_ROWS`` documents, by a hash) train a linear scorer over hashed
-trigrams of character kinds, which scores every document.
-
-Edge cases: null and empty texts are voted bad for shortness and have no trigrams;
-repeated rows give a row each; null ids are kept; extra columns are ignored; no
-documents give no rows, and a model that has seen none scores one half.
+sample (the ``MAX_ROWS`` distinct texts of the smallest hashes) train a linear scorer,
+which scores every document. Its features are square roots of shares of hashed
+trigrams of byte kinds, hashed runs of four bytes, and hashed words.
+
+Edge cases: null and empty texts are voted bad for shortness and have no features;
+a text of any length is one row of numbers, and is read whole; a document's answer
+depends on its text alone, so repeated rows give a row each and the same answer, and
+there are no ties to break; null ids are kept; extra columns are ignored; no documents
+give no rows, and a model that has seen none scores one half.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 MAX_ROWS = 8_000
-BUCKETS = 1024
+KINDS, GRAMS, WORDS = 1024, 1024, 2048
+BUCKETS = KINDS + GRAMS + WORDS
+EPOCHS, BATCH = 25, 1000
+L2 = 1e-4
 KEEP = 0.5
 LABELLERS = ("length", "capitals", "symbols", "tables", "word_size", "variety", "lines", "sentences", "runs", "echoes")
 BAD, NONE, GOOD = 0, 1, 2
@@ -59,9 +65,8 @@ def _distinct(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bincount((keys[new] >> np.uint64(44)).astype(np.int64), minlength=texts)
 
 
-def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of votes for each text."""
-    w = K.words(data, offsets, K.WORD)
+def votes(data: np.ndarray, offsets: np.ndarray, w: K.Words, h: np.ndarray) -> np.ndarray:
+    """A row of votes for each text, from its bytes and its words and their hashes."""
     n = np.diff(w.first)
     some = np.maximum(n, 1)
     share = lambda x, y: x / np.maximum(y, 1)
@@ -69,7 +74,6 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     letters, ink = kinds[:, :3].sum(axis=1), kinds.sum(axis=1) - kinds[:, 4] - kinds[:, 5]
     capitals, symbols, bars = share(kinds[:, 1], letters), share(kinds[:, 6:].sum(axis=1), ink), share(kinds[:, 8], ink)
     size = share(_sums(w.lens, w.first), some)
-    h = K.xxh64(w.data, w.starts, w.lens)
     variety = share(_distinct(h, w.first), some)
     line_kind = np.ones(256, bool)
     line_kind[0x0A] = False
@@ -80,8 +84,11 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     repeated = 1 - share(_distinct(K.mix(crc), lines.first), n_lines)
     same = np.flatnonzero((data[2:] == data[1:-1]) & (data[2:] == data[:-2]))
     same = same[_symbol[data[same]]]
+    text_of = np.searchsorted(offsets, same, "right") - 1
+    same = same[same + 2 < offsets[text_of + 1]]  # a run ends with its text
     runs = share(np.diff(np.searchsorted(same, offsets)), some)
-    echo = np.append(h[1:] == h[:-1], False)
+    echo = np.append(h[1:] == h[:-1], False)[: len(h)]
+    echo[w.first[1:][n > 0] - 1] = False  # the last word of a text has none after it
     echoes = share(_sums(echo, w.first), some)
     stops = share(kinds[:, 6], some)
     pick = lambda bad, good: np.where(bad, BAD, np.where(good, GOOD, NONE))
@@ -103,37 +110,70 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     )
 
 
-def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each text, square roots of the shares of its hashed trigrams of byte kinds."""
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarray]:
+    w = K.words(data, offsets, K.WORD)
+    return w, K.xxh64(w.data, w.starts, w.lens)
+
+
+def _within(offsets: np.ndarray, size: int) -> np.ndarray:
+    """Of the runs of ``size`` bytes, which lie in one text."""
+    keep = np.ones(max(0, int(offsets[-1]) - size + 1), bool)
+    for back in range(1, size):
+        at = offsets[1:-1] - back
+        keep[at[(at >= 0) & (at < len(keep))]] = False
+    return keep
+
+
+def _shares(of: np.ndarray, bucket: np.ndarray, texts: int, buckets: int) -> np.ndarray:
+    counts = np.bincount(of * buckets + bucket, minlength=texts * buckets).reshape(texts, buckets).astype(np.float32)
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+
+
+def features(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text, square roots of the shares of its hashed features, kind by kind."""
     texts = len(offsets) - 1
-    if len(data) < 3:
-        return np.zeros((texts, BUCKETS), np.float32)
-    k = _kind[data]
-    gram = k[:-2] * 100 + k[1:-1] * 10 + k[2:]
     of = np.repeat(np.arange(texts, dtype=np.int32), np.diff(offsets))
-    at = of[:-2] * BUCKETS + gram % BUCKETS
-    cut = np.unique(np.concatenate([offsets[1:-1] - 1, offsets[1:-1] - 2]))  # trigrams that cross into the next text
-    keep = np.ones(len(at), bool)
-    keep[cut[(cut >= 0) & (cut < len(at))]] = False
-    counts = np.bincount(at[keep], minlength=texts * BUCKETS).reshape(texts, BUCKETS).astype(np.float32)
-    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+    k = _kind[data]
+    three, four = _within(offsets, 3), _within(offsets, 4)
+    kinds = ((k[:-2] * 100 + k[1:-1] * 10 + k[2:]) % KINDS)[three] if len(three) else np.zeros(0, np.int32)
+    low = np.append(K.LOWER[data], np.zeros(4, np.uint8))
+    grams = np.ndarray((len(four),), "<u4", low, 0, (1,))[four] * np.uint32(0x9E3779B1) >> np.uint32(16)
+    words = (hashes >> np.uint64(30)).astype(np.int32) % WORDS
+    return np.concatenate([_shares(of[: len(three)][three], kinds, texts, KINDS), _shares(of[: len(four)][four], grams.astype(np.int32) % GRAMS, texts, GRAMS), _shares(K.owner(first).astype(np.int32), words, texts, WORDS)], axis=1)
 
 
-def _vote_patterns(with_grams: bool):
-    place = 3 ** np.arange(len(LABELLERS))
+def _in_groups(data: np.ndarray, offsets: np.ndarray, w: K.Words, h: np.ndarray, size: int = 256):
+    """Features of up to ``size`` texts at a time, which bounds the matrix."""
+    for i in range(0, len(offsets) - 1, size):
+        j = min(i + size, len(offsets) - 1)
+        yield features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], h[w.first[i] : w.first[j]], w.first[i : j + 1] - w.first[i])
+
+
+PLACE = 3 ** np.arange(len(LABELLERS))
 
-    def run(batches):
-        for rows, data, offsets in K.chunks(batches):
-            pattern = pa.array((votes(data, offsets) * place).sum(axis=1).astype(np.int64))
-            grams = [pa.array([x.tobytes() for x in trigrams(data, offsets)], pa.binary())] if with_grams else []
-            yield pa.record_batch([pattern, *grams], ["pattern", "grams"][: 1 + with_grams])
 
-    return run
+def _patterns(batches):
+    for _, data, offsets in K.chunks(batches):
+        yield pa.record_batch([pa.array((votes(data, offsets, *_word_hashes(data, offsets)) * PLACE).sum(axis=1).astype(np.int64))], ["pattern"])
+
+
+def _examples(batches):
+    """Hash, vote pattern, and the places and values of the features that aren't zero."""
+    for rows, data, offsets in K.chunks(batches):
+        w, h = _word_hashes(data, offsets)
+        pattern = pa.array((votes(data, offsets, w, h) * PLACE).sum(axis=1).astype(np.int64))
+        at, values = [], []
+        for group in _in_groups(data, offsets, w, h):
+            for x in group:
+                some = np.flatnonzero(x)
+                at.append(some.astype("<u2").tobytes())
+                values.append(x[some].astype("<f2").tobytes())
+        yield pa.record_batch([rows.column("h"), pattern, pa.array(at, pa.binary()), pa.array(values, pa.binary())], ["h", "pattern", "at", "values"])
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation: each pattern's probability of good, and ``rates[labeller, class, vote]``."""
-    v = (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
+    v = (patterns[:, None] // PLACE) % 3
     good = np.where((v == BAD).any(axis=1), 0.1, 0.95)  # labellers look for different faults, so one that finds any is believed at first
     one_hot = (v[:, :, None] == np.arange(3)).astype(float)
     rates = np.full((len(LABELLERS), 2, 3), 1 / 3)
@@ -155,39 +195,51 @@ class Model:
         self.weights, self.bias, self.posterior = weights, bias, posterior
 
 
+def _descend(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, l2: float = L2) -> tuple[np.ndarray, float]:
+    """Adam on the mean log loss of one batch after another, in single precision; rows come in the order of their hashes."""
+    w, b, y = np.zeros(x.shape[1], np.float32), 0.0, y.astype(np.float32)
+    m, s = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    steps = epochs * -(-len(x) // batch)
+    for step in range(steps):
+        at = step * batch % (-(-len(x) // batch) * batch)
+        part, want = x[at : at + batch], y[at : at + batch]
+        miss = 1 / (1 + np.exp(-np.clip(part @ w + np.float32(b), -30, 30))) - want
+        g = np.append(part.T @ miss / len(part) + l2 * w, miss.mean())
+        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+        move = 0.1 * (1 - step / steps) * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.999 ** (step + 1))) + 1e-8)
+        w, b = (w - move[:-1]).astype(np.float32), b - float(move[-1])
+    return w, b
+
+
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Estimate the labellers over all documents, and fit the scorer on at most ``max_rows`` of them."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = rows.select("text").mapInArrow(_vote_patterns(False), "pattern long").groupBy("pattern").count().collect()  # 3 ** labellers rows at most
+    """Estimate the labellers over all documents, and fit the scorer on at most ``max_rows`` distinct texts."""
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    table = rows.mapInArrow(_patterns, "pattern long").groupBy("pattern").count().collect()  # 3 ** labellers rows at most
     patterns, counts = np.array([r["pattern"] for r in table], np.int64), np.array([r["count"] for r in table], float)
     good, _ = estimate(patterns, counts)
     posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    n = counts.sum()
-    share = min(1.0, 1.2 * max_rows / n) if n else 1.0  # a hash's share first, so that texts aren't sorted
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000))).select("text")
-    fit = sample.mapInArrow(_vote_patterns(True), "pattern long, grams binary").limit(max_rows).toArrow()
-    x = np.frombuffer(b"".join(fit["grams"].to_pylist()), np.float32).reshape(-1, BUCKETS)
-    y = np.array([posterior[p] for p in fit["pattern"].to_pylist()])
-    w, b = np.zeros(BUCKETS, np.float32), 0.0
-    m, s = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    for step in range(1, 401 if len(x) else 1):
-        miss = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        g = np.append(x.T @ miss / len(x) + 1e-5 * w, miss.mean())
-        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-        w, b = (w - move[:-1]).astype(np.float32), b - float(move[-1])
+    hashed = rows.select(F.xxhash64("text").alias("h"), "text")
+    n = hashed.agg(F.approx_count_distinct("h")).first()[0]
+    share = min(1.0, 1.3 * max_rows / n) if n else 1.0  # about as many texts as are wanted, so that others aren't looked at again
+    few = hashed.where(F.col("h") <= min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))).mapInArrow(_examples, "h long, pattern long, at binary, values binary")
+    few = few.groupBy("h").agg(*[F.first(c).alias(c) for c in ("pattern", "at", "values")])  # copies are one example
+    fit = few.orderBy("h").limit(max_rows).toArrow()  # max_rows rows at most
+    x = np.zeros((fit.num_rows, BUCKETS), np.float32)
+    for i, (at, values) in enumerate(zip(fit["at"].to_pylist(), fit["values"].to_pylist(), strict=True)):
+        x[i, np.frombuffer(at, "<u2")] = np.frombuffer(values, "<f2")
+    w, b = _descend(x, np.array([posterior[p] for p in fit["pattern"].to_pylist()], float))
     return Model(w, b, posterior)
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """``doc_id, n_bad, n_good, weak_label, score, keep`` for each row: votes, their posterior, and the scorer's answer."""
-    place = 3 ** np.arange(len(LABELLERS))
 
     def run(batches):
         for rows, data, offsets in K.chunks(batches):
-            v = votes(data, offsets)
-            weak = [model.posterior.get(p, 0.5) for p in (v * place).sum(axis=1).tolist()]
-            logit = np.concatenate([trigrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) @ model.weights for i in range(0, rows.num_rows, 256) for j in (min(i + 256, rows.num_rows),)]) + model.bias
+            w, h = _word_hashes(data, offsets)
+            v = votes(data, offsets, w, h)
+            weak = [model.posterior.get(p, 0.5) for p in (v * PLACE).sum(axis=1).tolist()]
+            logit = np.concatenate([(x.astype(np.float64) * model.weights).sum(axis=1) for x in _in_groups(data, offsets, w, h)]) + model.bias
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             yield pa.record_batch([rows.column("doc_id"), pa.array((v == BAD).sum(axis=1)), pa.array((v == GOOD).sum(axis=1)), pa.array(weak, pa.float64()), pa.array(p.astype(float)), pa.array(p >= keep)], ["doc_id", "n_bad", "n_good", "weak_label", "score", "keep"])
 

@@ -7,7 +7,7 @@ import string
 import numpy as np
 import public_tokenizers
 
-from corvane.llm import ann, lmscore, secrets, tokencount
+from corvane.llm import ann, kernels, lmscore, quality, secrets, tokencount
 
 from . import brute
 from .test_models import counted
@@ -46,6 +46,126 @@ def test_rings_connect_every_node(spark):
     assert len({find(i) for i in range(3000)}) == 1
 
 
+def answers(spark, rows, kind="double"):
+    got = ann.nearest(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).orderBy("query_id", "rank").collect()
+    out = {}
+    for x in got:
+        out.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    return out
+
+
+def test_doubles_that_floats_cannot_tell_apart(spark):
+    got = answers(spark, [(i, [1 + i * 1e-10, 0.5]) for i in range(40)])
+    assert [v for v, _ in got[0]] == list(range(39, 19, -1))
+    assert [s for _, s in got[0]] == [(1 + v * 1e-10) + 0.25 for v, _ in got[0]]
+
+
+def test_very_unequal_norms(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((1500, 16))
+    x[7] *= 1e20
+    x[8] *= 1e-20
+    got = answers(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({v for v, _ in found} & set(np.lexsort((np.arange(1500), -s))[:20].tolist()))
+        assert all(abs(score - x[q] @ x[v]) <= 1e-9 * abs(score) + 1e-30 for v, score in found)
+    assert len(got) == 75 and hits >= 0.95 * 20 * 75
+
+
+def test_shorter_vectors_count_as_filled_up_with_zeros(spark):
+    got = answers(spark, [(0, [1.0, 2.0, 3.0]), (1, [1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0, 1.0, 9.0])])
+    assert got == {0: [(2, 3.0), (3, 3.0), (1, 1.0)]}
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, r.standard_normal(6).tolist()) for i in range(600)] + [(600 + i, [3.0] * 6) for i in range(300)]
+    got = answers(spark, rows)
+    assert len(got) == 45 and all(len(v) == 20 for v in got.values())
+    assert all([v for v, _ in got[q]] == [i for i in range(600, 621) if i != q][:20] for q in got if q >= 600)
+
+
+# --- quality
+
+
+def plain_votes(text):
+    """The labellers' rules, text by text."""
+    raw = (text or "").encode()
+    w = brute.words(text)
+    n = len(w)
+    count = lambda f: sum(map(f, raw))
+    upper, letter = lambda b: 65 <= b <= 90, lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    space, digit = lambda b: b == 32 or 9 <= b <= 13, lambda b: 48 <= b <= 57
+    ink = count(lambda b: not space(b))
+    part = lambda a, b: a / max(b, 1)
+    capitals, bars = part(count(upper), count(letter)), part(raw.count(b"|"), ink)
+    symbols = part(count(lambda b: not (letter(b) or digit(b) or space(b))), ink)
+    size, variety = part(sum(len(x.encode()) for x in w), n), part(len(set(w)), n)
+    lines = [x.translate(brute.LOWER) for x in (text or "").split("\n") if x]
+    repeated = 1 - part(len(set(lines)), len(lines))
+    stops = part(sum(raw.count(c) for c in (b".", b"!", b"?")), n)
+    runs = part(sum(raw[i] == raw[i + 1] == raw[i + 2] and not (letter(raw[i]) or digit(raw[i]) or space(raw[i])) for i in range(len(raw) - 2)), n)
+    echoes = part(sum(a == b for a, b in zip(w, w[1:], strict=False)), n)
+    pick = lambda bad, good: quality.BAD if bad else quality.GOOD if good else quality.NONE
+    return [
+        pick(n < 1, n >= 20),
+        pick(capitals > 0.3 and n >= 4, capitals < 0.12),
+        pick(symbols > 0.15 and n >= 10, symbols < 0.08),
+        pick(bars > 0.02 and n >= 10, False),
+        pick((size < 2.5 or size > 14) and n >= 10, 3 <= size <= 10),
+        pick(variety < 0.2 and n >= 50, variety > 0.35),
+        pick(repeated > 0.3 and len(lines) >= 4, repeated < 0.15 and len(lines) >= 2),
+        pick(stops < 0.01 and n >= 20 or stops > 0.6, 0.02 <= stops <= 0.4),
+        pick(runs > 0.1 and n >= 10, runs == 0),
+        pick(echoes > 0.1 and n >= 10, echoes < 0.02),
+    ]
+
+
+def plain_score(text, model):
+    """The linear scorer, feature by feature."""
+    import xxhash
+
+    raw = (text or "").encode()
+    kind = lambda b: 1 if 65 <= b <= 90 else 2 if b >= 128 else 0 if 97 <= b <= 122 else 3 if 48 <= b <= 57 else 5 if b == 10 else 4 if b == 32 or 9 <= b <= 13 else 6 if b in b".!?" else 7 if b == 44 else 8 if b == 124 else 9
+    k, low = [kind(b) for b in raw], raw.translate(bytes(kernels.LOWER.tolist()))
+    parts = [
+        (0, quality.KINDS, [(k[i] * 100 + k[i + 1] * 10 + k[i + 2]) % quality.KINDS for i in range(len(k) - 2)]),
+        (quality.KINDS, quality.GRAMS, [((int.from_bytes(low[i : i + 4], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 16) % quality.GRAMS for i in range(len(low) - 3)]),
+        (quality.KINDS + quality.GRAMS, quality.WORDS, [(xxhash.xxh64_intdigest(x.encode(), 42) >> 30) % quality.WORDS for x in brute.words(text)]),
+    ]
+    logit = model.bias
+    for base, buckets, found in parts:
+        counts = np.bincount(found, minlength=buckets) if found else np.zeros(buckets)
+        logit += float(np.sqrt(counts / max(counts.sum(), 1)) @ model.weights[base : base + buckets])
+    return 1 / (1 + np.exp(-logit))
+
+
+TEXTS = [None, "", "next text", "!next text", "the same the", "end!!", "!!! ...", "a a a a a a a a a a a b", "ÉCOLE École x", "one | two | three | four | five | six | seven | eight | nine | ten |", "x\nx\nx\nx\ny\n", "w" * 5000, "SHOUTING WORDS ARE HERE NOW. " * 9, "word. " * 900, "line one\nline two. " * 40, "?"]
+
+
+def test_quality_against_brute_force_whatever_the_neighbours(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts = TEXTS + [t for _, t in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model = quality.train(df)
+    for order in ("doc_id", "-doc_id", "xxhash64(doc_id)"):
+        got = {r.doc_id: r for r in quality.score(df.selectExpr("*", f"{order} AS o").sort("o"), model).collect()}
+        for i, t in enumerate(texts):
+            v = plain_votes(t)
+            assert (got[i].n_bad, got[i].n_good) == (v.count(quality.BAD), v.count(quality.GOOD)), (order, t)
+            assert got[i].weak_label == model.posterior[int((np.array(v) * quality.PLACE).sum())]
+            assert abs(got[i].score - plain_score(t, model)) < 1e-5
+
+
+def test_quality_learns_from_distinct_texts_alike_in_any_order(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('word number ', id % 90, '. And another one, then more words here.') AS text")
+    a, b = quality.train(docs, 50), quality.train(docs.repartition(7, "doc_id"), 50)
+    assert np.allclose(a.weights, b.weights) and abs(a.bias - b.bias) < 1e-9
+
+
 # --- token counts
 
 
