@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import ann, licenses, lmscore, quality, tokencount
+from corvane.llm import kernels as K
 from corvane.llm.queries import ORACLE_SQL, op1_nearest, op2_token_counts, op5_lm_score, op6_quality, op8_licenses
 
 from . import brute
@@ -157,20 +158,130 @@ def test_lm_without_room_for_most_tokens(spark):
     assert lmscore.score(frame(spark, [])).count() == 0
 
 
+def plain_model(docs, listed, rounds):
+    """The model's log10 probability of each text, token by token, with dictionaries and loops."""
+    import xxhash
+
+    m64 = (1 << 64) - 1
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    key = lambda t: lmscore.END if t == "\n" else xxhash.xxh64_intdigest(t.encode(), 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def mix(x):
+        x = (x ^ (x >> 31)) * K.P2 & m64
+        x = (x ^ (x >> 29)) * K.P3 & m64
+        return x ^ (x >> 32)
+
+    texts = [(d, [key(t) for t in [*brute.tokens(text), "\n"]]) for d, text in docs]
+    train = [t for d, t in texts if not held(d)]
+    count = collections.Counter(h for t in train for h in t)
+    total, steps, reached = sum(count.values()), sorted(collections.Counter(count.values()).items(), reverse=True), 0
+    least = 1 << 62
+    for n, tokens in steps:
+        reached += tokens
+        if reached > listed:
+            break
+        least = n
+    names = sorted((h for h in count if count[h] >= least), key=lambda h: (-count[h], signed(h)))
+    edge = lmscore.TOP_CLASSES * lmscore.TOP_WIDTH
+    width = max(1.0, math.log2(max(2, lmscore.LISTED / edge))) / lmscore.BANDS if listed == lmscore.LISTED else max(1.0, math.log2(max(2, listed / edge))) / lmscore.BANDS
+    band = lambda r: min(lmscore.BANDS - 1, int(math.log2(max(r + 1, edge) / edge) / width))
+    place = {h: (r // lmscore.TOP_WIDTH, r % lmscore.TOP_WIDTH) if r < edge else (lmscore.TOP_CLASSES + band(r), -1) for r, h in enumerate(names)}
+    of = lambda h: place.get(h, (lmscore.CLASSES - 1, -1))
+    mass = np.zeros(lmscore.CLASSES)
+    for h in names:
+        mass[place[h][0]] += count[h]
+    rest, unseen = total - mass.sum(), max(0.5, sum(n == 1 for n in count.values()))
+    mass[-1] = rest + unseen
+    bias = np.log((mass + 0.5) / (mass.sum() + 0.5 * lmscore.CLASSES))
+    inside = np.full((lmscore.TOP_CLASSES, lmscore.TOP_WIDTH), -30.0)
+    for h in names[:edge]:
+        inside[place[h]] = math.log(count[h] / mass[place[h][0]])
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    share, inside = softmax(bias), np.array([softmax(x) for x in inside])
+    buckets = lmscore.Parameters(total).buckets
+
+    def context(t, i):
+        one, two = (t[i - 1] if i else 1), (t[i - 2] if i > 1 else 1 if i else 2)
+        one, two = mix(one), mix((two + 77) & m64)
+        both = mix((one * K.P1 + two) & m64)
+        return {"previous": one % buckets["previous"], "skip": two % buckets["skip"], "pair": both % buckets["pair"]}, (one >> 20) % lmscore.INNER
+
+    zero = lambda: {f: collections.defaultdict(lambda: np.zeros(lmscore.CLASSES)) for f in lmscore.FEATURES}
+    seen, seen_in = zero(), collections.defaultdict(lambda: np.zeros(lmscore.TOP_WIDTH))
+    for t in train:
+        for i, h in enumerate(t):
+            c, row = context(t, i)
+            for f, b in c.items():
+                seen[f][b][of(h)[0]] += 1
+                seen[f][b][-1] += h in place and count[h] == 1
+            if of(h)[1] >= 0:
+                seen_in[row, of(h)[0]][of(h)[1]] += 1
+    before = lmscore.BEFORE
+    for x in (x for f in seen.values() for x in f.values()):
+        x[-1] *= (rest + unseen) / max(0.5, rest + sum(count[h] == 1 for h in names))
+    weights = {f: {b: lmscore.FIRST_RATES[f] * np.log((x + before * share) / ((x.sum() + before) * share)) for b, x in seen[f].items()} for f in lmscore.FEATURES}
+    none = np.zeros(lmscore.CLASSES)
+    chances = lambda c: softmax(bias + sum(weights[f].get(b, none) for f, b in c.items()))
+    for _ in range(rounds):
+        expects = zero()
+        for t in train:
+            for i in range(len(t)):
+                c = context(t, i)[0]
+                p = chances(c)
+                for f, b in c.items():
+                    expects[f][b] += p * (2 if t[i] in place and count[t[i]] == 1 else 1)
+        weights = {f: {b: w + lmscore.RATE * np.log((seen[f][b] + before * share) / (expects[f][b] + before * share)) for b, w in weights[f].items()} for f in lmscore.FEATURES}
+    out = []
+    for d, t in texts:
+        s = 0.0
+        for i, h in enumerate(t):
+            c, row = context(t, i)
+            k, at = of(h)
+            s += math.log10(chances(c)[k])
+            if at >= 0:
+                x = seen_in[row, k]
+                s += math.log10((x[at] + before * inside[k][at]) / (x.sum() + before))
+            elif h in place:
+                s += math.log10(count[h] / mass[k])
+            else:
+                s += math.log10((count[h] or unseen) / (rest + unseen))
+        out.append((d, s))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("listed,rounds", [(lmscore.LISTED, 1), (40, 2)])
+def test_lm_score_against_brute_force(spark, listed, rounds):
+    r = random.Random(7)
+    odd = [(d, t) for d, t in ODD if len(t or "") < 1000]
+    docs = odd + [(10 + i, " ".join(f"t{int(r.paretovariate(0.8)) % 300}" for _ in range(r.randrange(80)))) for i in range(80)]
+    want = plain_model(docs, listed, rounds)
+    for parts in (1, 13):
+        got = sorted(((x.doc_id, x.score) for x in lmscore.score(frame(spark, docs).repartition(parts), listed, rounds).collect()), key=repr)
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose(sorted(s for _, s in got), sorted(s for _, s in want), rtol=1e-4, atol=2e-3), (parts, listed)
+
+
+def test_lm_gain_does_not_depend_on_tasks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = [lmscore.score(docs.repartition(n, "doc_id")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first() for n in (3, 64)]
+    few, many = ((s - b) for s, b in held)
+    assert few > 0 and abs(many / few - 1) < 0.01
+
+
 def test_lm_probabilities_sum_to_one():
     r = np.random.default_rng(1)
     n = 600
     keys = np.sort(r.integers(1, 1 << 62, n).astype(np.uint64))
-    edge = lmscore.TOP_CLASSES * lmscore.TOP_WIDTH
-    v = lmscore.Vocabulary(keys, np.ones(n, int), (np.arange(n) % 7).astype(np.int16), (np.arange(n) // 7 % lmscore.TOP_WIDTH).astype(np.int16), np.zeros(n), n, n, 0, 0, np.zeros(lmscore.CLASSES, np.float32), np.zeros((lmscore.TOP_CLASSES, lmscore.TOP_WIDTH), np.float32))
-    flat = r.standard_normal(lmscore.SIZE).astype(np.float32)
-    p = lmscore.split(flat)
-    c = lmscore._contexts(keys[:3], np.array([0, 3]))
-    first = lmscore._softmax(lmscore._class_logits(p, c, slice(0, 3)))
-    inner = lmscore._softmax(lmscore._inner_logits(p, c, np.array([2]), np.array([0, 0, 4])))
-    assert np.allclose(first.sum(axis=1), 1, atol=1e-5) and np.allclose(inner.sum(), 1, atol=1e-5) and edge > 0
+    v = lmscore.Vocabulary(keys, np.ones(n, int), (np.arange(n) % 7).astype(np.int16), (np.arange(n) // 7 % lmscore.TOP_WIDTH).astype(np.int16), np.zeros(n), n, n, 0, 0.5, 1.0, np.zeros(lmscore.CLASSES, np.float32), np.zeros((lmscore.TOP_CLASSES, lmscore.TOP_WIDTH), np.float32))
+    p = lmscore.Parameters(n)
+    p.flat[:] = r.standard_normal(len(p.flat))
+    c = lmscore.contexts(keys[:3], np.array([0, 3]), p.buckets)
+    first = lmscore._softmax(lmscore._class_logits(p, v, c, slice(0, 3)))
+    inner = lmscore._softmax(lmscore._inner_logits(p, v, c, np.array([2]), np.array([0, 0, 4])))
+    assert np.allclose(first.sum(axis=1), 1, atol=1e-5) and np.allclose(inner.sum(), 1, atol=1e-5)
     one = lmscore.log_probabilities(p, v, keys[:3], np.array([0, 3]), np.arange(3))
-    assert np.isclose(one[2], np.log(first[2, v.classes[2]]) + np.log(lmscore._softmax(lmscore._inner_logits(p, c, np.array([2]), v.classes[:3].astype(int)))[0, v.place[2]]), atol=1e-4)
+    assert np.isclose(one[2], np.log(first[2, v.classes[2]]) + np.log(lmscore._softmax(lmscore._inner_logits(p, v, c, np.array([2]), v.classes[:3].astype(int)))[0, v.place[2]]), atol=1e-4)
 
 
 # --- quality
