@@ -2,16 +2,18 @@
 
 A document's tokens plus an end token are one piece, or pieces of ``CAPACITY``
 tokens of which the first may be shorter. What is packed are counts of pieces by
-length, at most ``CAPACITY`` numbers however many documents there are. For each
-length, longest first, the rest of a sequence is looked up among single lengths,
-then sums of two, then of three, and every combination that fills it exactly is
-consumed as often as the counts allow; what is left goes best-fit, longest first.
+length, at most ``CAPACITY`` numbers however many documents there are. Sums of one,
+two and three available lengths are indexed. For each length, longest first, the rest
+of a sequence is looked up there, and combinations that fill it exactly are consumed as
+often as the counts allow, until the index has none; what is left goes best-fit, longest
+first.
 The plan is a list of patterns with a multiplicity. Pieces of a length are
 numbered by running numbers within a task plus the tasks' offsets, and a number
 leads to its place in the plan, so no group of pieces is ever gathered.
 
-Edge cases: null and empty texts are the end token alone; repeated rows are packed
-each; null ids are kept; extra columns are ignored; no documents give no rows.
+Edge cases: null and empty texts are the end token alone; texts of any length are
+tokenized whole; pieces of one length are alike, and go in the order of tasks and rows;
+repeated rows are packed each; null ids are kept; extra columns are ignored; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -94,6 +96,52 @@ def _pieces(capacity: int, end_id: int, vocabulary: str, ranks: str, with_ids: b
     return run
 
 
+class Sums:
+    """An index of the sums of one, two and three available lengths, kept as counts run out.
+
+    ``pair[s]`` and ``triple[s]`` are the larger, or largest, length of a combination of the sum ``s``
+    that was available when last looked at. Lengths only ever run out, so one that isn't found again
+    from there downwards is gone for good, and every sum is walked down once.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left, n = left, len(left)
+        self.pair, self.triple = np.arange(n) - 1, np.arange(n) - 2
+
+    def has(self, lengths: tuple[int, ...], used: int) -> bool:
+        """Whether a sequence can hold these lengths beside one of length ``used``."""
+        return all(self.left[x] >= (used == x) + lengths.count(x) for x in lengths)
+
+    def filling(self, gap: int, used: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that sum to ``gap``, or None."""
+        if gap > 0 and self.has((gap,), used):
+            return (gap,)
+        return self.two(gap, used) or self.three(gap, used)
+
+    def two(self, gap: int, *used: int) -> tuple[int, int] | None:
+        while 2 * self.pair[gap] >= gap > 1:
+            a = int(self.pair[gap])
+            if self.left[a] and self.left[gap - a]:
+                for x in range(a, (gap - 1) // 2, -1):
+                    if self.left[x] and self.left[gap - x] and all(self.left[y] >= (x, gap - x, *used).count(y) for y in (x, gap - x)):
+                        return x, gap - x
+                return None
+            self.pair[gap] -= 1
+        return None
+
+    def three(self, gap: int, used: int) -> tuple[int, int, int] | None:
+        while 3 * self.triple[gap] >= gap > 2:
+            a = int(self.triple[gap])
+            if self.left[a] and self.two(gap - a) is not None:
+                for x in range(a, (gap - 1) // 3, -1):
+                    two = self.two(gap - x, used, x) if self.left[x] else None
+                    if two and self.has((x, *two), used):
+                        return x, *two
+                return None
+            self.triple[gap] -= 1
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """Patterns of lengths and how often each is used; uses every piece once.
 
@@ -113,26 +161,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
             left[used] -= need[used] * times
             patterns.append((list(lengths), times))
 
+    index = Sums(left)
     for size in range(capacity, 0, -1):
-        gap = capacity - size
-        if left[size] and not gap:
-            take(size)
-        if left[size] and gap:
-            take(size, gap)
-        for a in np.flatnonzero(left[: gap + 1])[::-1].tolist() if left[size] else ():
-            if 2 * a >= gap > a and left[gap - a]:
-                take(size, a, gap - a)
-                if not left[size]:
-                    break
-        for a in np.flatnonzero(left[: gap + 1])[::-1].tolist() if left[size] else ():
-            if not left[size]:
+        while left[size]:
+            rest = index.filling(capacity - size, size) if size < capacity else ()
+            if rest is None:
                 break
-            rest = gap - a
-            for b in np.flatnonzero(left[: min(a, rest - 1) + 1])[::-1].tolist() if rest > 1 and 3 * a >= gap else ():
-                if 2 * b < rest or not left[size] or not left[a]:
-                    break
-                if left[b] and left[rest - b]:
-                    take(size, a, b, rest - b)
+            take(size, *rest)
     open_bins: list[list[tuple[list[int], int]]] = [[] for _ in range(capacity + 1)]
     for size in range(capacity, 0, -1):
         n = int(left[size])
