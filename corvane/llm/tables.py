@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +13,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, the warehouse, which all executors share as well: a folder of
+    one machine would lose tables on a cluster.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    own = spark.conf.get("spark.corvane.scratch", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.corvane.scratch", own)
-    return own
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/corvane-work"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -42,6 +39,10 @@ def held_out_bucket(doc_id, modulus: int):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def integral(df: DataFrame, column: str) -> DataFrame:
-    """Only this column and ``text``, so that extra columns with clashing names can't interfere."""
-    return df.select(F.col(column).cast("long").alias(column), F.col("text").cast("string").alias("text"))
+#: Lists of up to so many rows that go are sent to every task; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, on) -> DataFrame:
+    """The rows that match none of ``gone``, which is a written table; rows aren't shuffled where that is short."""
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, on, "left_anti")

@@ -4,12 +4,14 @@ A logistic model over the words of a text and their first bytes. Where a labelle
 text mentions an identity term, the terms of its sentences are swapped for others,
 and training penalises the squared change of the score, so a neutral mention of a
 group carries no weight of its own. Features are 64-bit hashes; those whose
-association with the label is significant over the training rows are kept, at most
-``MAX_FEATURES``. Training rows are a bounded sample of the labelled ones
-(``MAX_ROWS``, by a hash of the id); scoring covers all texts.
+association with the label is significant over the training rows are kept, all of them.
+Training rows are a bounded sample of the labelled documents: the ``MAX_ROWS`` distinct
+texts of the smallest hashes of id and text; scoring covers all texts. At most as many
+features as those texts have words reach the driver, however many rows repeat them.
 
 Edge cases: null and empty texts have no features and get the score of the bias;
-repeated rows give a row each; null ids are kept, and count as held out or not by
+texts of any length are scored whole; repeated rows give a row each, and are one training
+row; there are no ties, as a sample goes by hashes of what it holds; null ids are kept, and count as held out or not by
 the crc of the empty text; labels that are null or of unknown documents are left
 out, ones that contradict each other count as toxic; extra columns are ignored;
 without labels every score is low; no documents give no rows.
@@ -25,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import held_out_bucket
+from .tables import held_out_bucket, materialize
 
 THRESHOLD = 0.3
 MAX_ROWS = 20_000
-MAX_FEATURES = 20_000
 LEAST_ROWS = 4
 SIGNIFICANT = 12.0
 L2 = 2e-5
@@ -133,18 +134,20 @@ def _descend(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int,
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, fairness: float = FAIRNESS, l2: float = L2, terms: list[str] = IDENTITY_TERMS) -> Model:
-    """Fit on at most ``max_rows`` labelled documents outside the held-out fold."""
-    sample = (
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, fairness: float = FAIRNESS, l2: float = L2, terms: list[str] = IDENTITY_TERMS) -> Model:
+    """Fit on at most ``max_rows`` distinct labelled documents outside the held-out fold."""
+    label = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .where(held_out_bucket(F.col("doc_id"), FOLDS) != HELD_OUT)
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most max_rows pairs of numbers
-    examples = rows.select("toxic", "text").mapInArrow(_examples(tuple(terms)), "toxic int, have array<long>, swapped array<long>").persist()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    keys = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).distinct()
+    sample = materialize(keys.join(label, "doc_id").orderBy("h", "doc_id").limit(max_rows), "labelled")  # at most max_rows rows of three numbers
+    rows = texts.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(sample), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))
+    examples = materialize(rows.select("toxic", "text").mapInArrow(_examples(tuple(terms)), "toxic int, have array<long>, swapped array<long>"), "examples")
     totals = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1")).first()
     n, n1 = float(totals["n"]), float(totals["n1"])
     seen = examples.select("toxic", F.explode("have").alias("f")).groupBy("f").agg(F.count("*").alias("a"), F.sum("toxic").alias("k")).where(F.col("a") >= LEAST_ROWS)
@@ -152,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
     a, k = F.col("a").cast("double"), F.col("k").cast("double")
     rest, rest1 = F.lit(n) - a, F.lit(n1) - k
     g2 = 2 * (part(k, a) + part(a - k, a) + part(rest1, rest) + part(rest - rest1, rest) - (n1 * np.log(n1 / n) if n1 else 0.0) - ((n - n1) * np.log((n - n1) / n) if n > n1 else 0.0)) if n else F.lit(0.0)
-    chosen = seen.withColumn("g2", g2).where(F.col("g2") > SIGNIFICANT).orderBy(F.desc("g2"), "f").limit(max_features).select("f").collect()
+    chosen = seen.withColumn("g2", g2).where(F.col("g2") > SIGNIFICANT).select("f").collect()  # features of max_rows texts that occur in several
     keys = np.sort(np.array([r.f for r in chosen], np.int64).view(np.uint64))
 
     def kept(batches):  # lists are cut to the chosen features before they leave the tasks
@@ -171,7 +174,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
             yield pa.record_batch([batch.column("toxic"), *out], ["toxic", "have", "swapped"])
 
     data = examples.mapInArrow(kept, "toxic int, have array<int>, swapped array<int>").toArrow()  # max_rows rows at most
-    examples.unpersist()
     have = [np.array(x, np.int64) for x in data["have"].to_pylist()]
     swaps = [(i, np.array(x, np.int64)) for i, x in enumerate(data["swapped"].to_pylist()) if x is not None]
     weights, bias = _descend(have, np.array(data["toxic"].to_pylist(), float), swaps, len(keys), l2, fairness)
