@@ -7,10 +7,12 @@ under a model of random strings and one of ordinary identifiers. Pieces of at le
 other pieces, so are the stretches of at least ``MIN_STRETCH`` characters whose ratios
 exceed the threshold most in sum, by at least ``EXCESS`` (so that a shorter one needs a
 higher mean), and which mix digits, capitals and small letters; each is extended to the
-next of ``/ = _ -``, so that no end of a key stays. Both models are pair counts of labelled samples, made by Spark; a
+next of ``/ = _ -``, so that no end of a key stays. UUIDs, which name things, are left out
+as the patterns' spans are. Both models are pair counts of labelled samples, made by Spark; a
 pair table is bounded by the alphabet, whatever the number of samples.
 
-Edge cases: null and empty texts have no spans; repeated rows give a row each; null
+Edge cases: null and empty texts have no spans; texts of any length are scanned whole,
+runs of any length too; spans of one start go in the order of kinds; repeated rows give a row each; null
 ids are kept; extra columns are ignored (``redact`` keeps them); no documents give
 no rows.
 """
@@ -31,6 +33,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])")
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_RUN = 20
@@ -206,9 +209,11 @@ def _spans(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, threshold:
         more = []
         if t in runs:
             point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+            names = [(m.start(), m.end(), "uuid") for m in UUID.finditer(text)]
+            known = sorted(base + names)
             for a, b in runs[t]:
                 s, e = int(point[a - begin]), int(point[b - begin])
-                for x, y in _left(s, e, base):
+                for x, y in _left(s, e, known):
                     piece = raw[a - begin + x - s : a - begin + y - s]
                     if (x, y) != (s, e):  # no separators where a base span has been cut off
                         keep = np.flatnonzero(~_stop[piece])
