@@ -11,8 +11,8 @@ tiles so that no task holds all of it. Components come from alternating star
 contraction.
 
 Edge cases: null and empty texts have no shingles and fingerprint zero, which links
-like any other; fewer than three words are one shingle; repeated rows and ids give a
-row each; null ids take part but are never a component's id (a component of null
+like any other; fewer than three words are one shingle; texts of any length are read
+whole; a bit set in exactly half of the hashes is 0; repeated rows and ids give a row each; null ids take part but are never a component's id (a component of null
 ids only has a null id); extra columns are ignored; no documents give no rows.
 """
 
@@ -22,12 +22,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .tables import materialize
+from .tables import materialize, without
 
 WORDS = 3
 SEED = 42
@@ -164,20 +164,26 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """The documents, all columns, of which one of each component stays: the one of the smallest id."""
+    """The documents, all columns, of which one of each component stays: the one of the smallest id, of equal ones the first.
+
+    Documents are written once with their fingerprints and row numbers. What goes is a
+    list of row numbers, found among numbers alone.
+    """
     columns = docs.columns
 
     def marked(batches):
         for rows, data, offsets in K.chunks(batches):
             yield pa.record_batch([*rows.columns, pa.array(simhashes(data, offsets).view(np.int64))], [*columns, "corvane_fp"])
 
-    rows = materialize(fingerprints(docs), "fingerprints")
-    best = classes(rows, distance, blocks).groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("best"))
-    best = best.select(F.col("best.low").alias("corvane_id"), F.col("best.fp").alias("corvane_key"))
     full = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("corvane_fp", T.LongType())]))
-    kept = full.join(best, (F.col("corvane_fp") == F.col("corvane_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("corvane_id")))
-    first = Window.partitionBy("corvane_key", "corvane_id").orderBy("corvane_key")
-    return kept.withColumn("corvane_n", F.row_number().over(first)).where("corvane_n = 1").select(*columns)
+    full = materialize(full.withColumn("corvane_row", F.monotonically_increasing_id()), "marked")
+    rows = full.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("corvane_fp").alias("fp"), F.col("corvane_row").alias("row"))
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    best = materialize(best, "vertices")
+    roots = components(links(best.select("fp"), distance, blocks)).withColumnRenamed("v", "fp")
+    stay = best.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select("best.row")
+    gone = materialize(rows.select("row").join(stay, "row", "left_anti"), "gone")
+    return without(full, gone.withColumnRenamed("row", "corvane_row"), "corvane_row").select(*columns)
 
 
 def hex16(fp: str = "fp"):
