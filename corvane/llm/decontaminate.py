@@ -8,11 +8,13 @@ shingle over all documents. The join is on prefix shingles; the positions on bot
 sides give the alignment, the length bound drops alignments whose window leaves the
 document, and the words around the shingle are then compared exactly.
 
-A bitmap of fixed size (``BITMAP_BYTES``) tells tasks which shingles can be in the
-join at all. It never misses a shingle; a larger benchmark only lets more rows
-through to the join.
+A bitmap, whose size goes by the number of shingles up to a bound (``BITMAP_BYTES``), tells
+tasks which shingles can be in the join at all. It never misses a shingle; a benchmark
+too large for the bound only lets more rows through to the join.
 
-Inputs and their edge cases: null or empty texts have no words; an item shorter
+Inputs and their edge cases: null or empty texts have no words; texts of any length are
+read whole; of a window's equally rare shingles the one of the smallest hash is its
+prefix, which changes no result; an item shorter
 than a window is one window; an item without words has none; repeated documents
 give a row each; repeated item ids count once; items with a null id still mark
 words but have no id to list; extra columns are ignored; without documents the
@@ -27,11 +29,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import materialize
+from .tables import materialize, without
 
 WINDOW = 13
 SHINGLE = 4
-BITMAP_BYTES = 1 << 20
+#: Least and most bytes of the bitmap; two for each shingle in between.
+BITMAP_BYTES = (1 << 20, 1 << 24)
 
 
 def _shingles(w: K.Words, hashes: np.ndarray, size: int, of_text: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +74,14 @@ def item_shingles(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE
     return rows.mapInArrow(_item_rows(window, shingle), "item long, item_id string, pos int, size int, n int, sh long, left int, around string")
 
 
-def bitmap(shingles: DataFrame, size: int = BITMAP_BYTES) -> bytes:
-    """The fixed-size bitmap of a shingle column ``sh``; at most ``size`` bytes reach the driver."""
+def bitmap(shingles: DataFrame) -> bytes:
+    """The bitmap of a shingle column ``sh``; at most ``BITMAP_BYTES[1]`` bytes, as words of 32 bits, reach the driver."""
+    n = shingles.select("sh").distinct().count()
+    size = 1 << int(np.clip(np.ceil(np.log2(max(1, 2 * n))), *np.log2(BITMAP_BYTES)))
     bit = F.col("sh").bitwiseAND(F.lit(size * 8 - 1))
-    rows = shingles.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(sh & 31L AS INT))")).alias("bits")).collect()
+    rows = shingles.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(sh & 31L AS INT))")).alias("bits")).toArrow()
     out = np.zeros(size // 4, "<u4")
-    for r in rows:
-        out[r.word] = r.bits
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype("<u4")
     return out.tobytes()
 
 
@@ -202,4 +206,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bad = decisions(marked, items, window, shingle, key=text).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (text == F.col("bad_key")), "left_anti")
+    return without(docs, materialize(bad, "bad"), F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (text == F.col("bad_key")))
