@@ -10,7 +10,8 @@ Text is lower-cased (A-Z). Words are runs of letters, digits and everything that
 isn't ASCII; every other character but white space and control characters is a token
 of its own; a word that can't be matched whole is one unknown token.
 
-Edge cases: null and empty texts have no tokens; repeated rows give a row each; null
+Edge cases: null and empty texts have no tokens; texts and words of any length are read
+whole; a longest match is unique, so there are no ties; repeated rows give a row each; null
 ids are kept; extra columns are ignored; no documents give no rows.
 """
 

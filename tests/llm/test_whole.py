@@ -3,11 +3,12 @@
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import public_tokenizers
 
-from corvane.llm import ann, kernels, lmscore, quality, secrets, tokencount
+from corvane.llm import ann, kernels, lmscore, quality, secrets, simhash, tokencount, toxicity
 
 from . import brute
 from .test_models import counted
@@ -205,6 +206,81 @@ def test_random_parts_of_a_run_are_found_and_blanked(spark):
     assert all(got[d] == t for d, t in docs if d >= 1000)
 
 
+def test_identifiers_of_another_source_and_uuids_are_left_alone(spark):
+    import asyncio
+    import email
+    import http.client
+    import logging
+    import os
+    import socket
+    import ssl
+    import unittest
+    import uuid
+
+    model = secrets.train(secrets.labelled_samples(spark))
+    names = sorted({n for m in (asyncio, email, http.client, logging, os, socket, ssl, unittest, unittest.TestCase) for n in dir(m) if len(n) >= 16})
+    r = random.Random(13)
+    uuids = [str(uuid.UUID(int=r.getrandbits(128))) for _ in range(50)]
+    keys = ["".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(n)) for n in (24, 32, 44, 64) * 25] + ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(32)) for _ in range(50)]
+    docs = list(enumerate(f"see {x} there" for x in names + uuids + keys))
+    got = {x.doc_id: x.n_markov for x in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    plain = len(names) + len(uuids)
+    assert len(names) > 100 and sum(got[i] > 0 for i in range(len(names))) <= 0.03 * len(names)
+    assert not any(got[i] for i in range(len(names), plain))
+    assert sum(got[i] > 0 for i in range(plain, len(docs))) >= 0.95 * len(keys)
+
+
+# --- toxicity
+
+
+def test_rows_of_one_labelled_id_are_bounded(spark):
+    docs = spark.createDataFrame([(3, "vile words") for _ in range(3000)] + [(3, f"other words {i}") for i in range(500)] + [(i, f"kind words {i}") for i in range(4, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1)] + [(i, 0) for i in range(4, 40)], "doc_id long, toxic int")
+    rows = []
+    descend = toxicity._descend
+    try:
+        toxicity._descend = lambda have, *a: rows.append(len(have)) or descend(have, *a)
+        toxicity.train(docs, labels, max_rows=4)
+        toxicity.train(docs, labels)
+    finally:
+        toxicity._descend = descend
+    held = sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(4, 40))
+    assert rows == [4, 501 * (zlib.crc32(b"3") % 4 != 2) + 36 - held]
+
+
+def test_toxicity_score_against_brute_force(spark, sf):
+    import xxhash
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(None, None), (-1, ""), (-2, "w" * 70_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(df, spark.read.parquet(f"{sf}/labels.parquet"))
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    want = {}
+    for d, t in docs:
+        raw = [w.encode() for w in brute.words(t)]
+        have = {xxhash.xxh64_intdigest(w, 1) for w in raw} | {xxhash.xxh64_intdigest(w[:n], 100 + n) for w in raw for n in toxicity.PREFIXES if len(w) > n}
+        want[d] = 1 / (1 + np.exp(-(model.bias + sum(weight.get(h, 0.0) for h in have))))
+    for r in toxicity.score(df, model).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-9 and r.predicted == int(want[r.doc_id] >= 0.3)
+
+
+# --- pipeline stages
+
+
+def test_one_of_repeated_rows_stays_whatever_the_join(spark, monkeypatch):
+    from corvane.llm import tables
+
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("abcdefgh") * 3 + str(r.randrange(99)) for _ in range(40)), "x") for i in range(60)]
+    rows += [rows[5]] * 7 + [(None, rows[6][1], "n"), (None, "only one of it", "n"), (None, "only one of it", "n"), (5, "another text of that id", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, corvane string")
+    want = sorted({(d, t) for d, t, _ in rows if d is not None} | {(None, "only one of it")}, key=repr)
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr(tables, "BROADCAST_ROWS", bound)
+        got = simhash.keep_one(docs)
+        assert got.columns == docs.columns and brute.rows(got, "doc_id", "text") == want
+
+
 # --- language model
 
 
