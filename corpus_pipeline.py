@@ -4,6 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 Parquet and read again as the next one's documents. Toxic documents, all but one
 document of each near-duplicate group, and contaminated documents go; secrets are
 blanked out of the texts; what is left is packed into sequences.
+
+Edge cases: null and empty texts aren't toxic and hold no secret or benchmark words;
+they are near-duplicates of each other, so one of them stays and is packed as the end
+token alone; texts of any length are processed whole; of a near-duplicate group the row
+of the smallest id stays, of equal ids the first, and a null id stays only where no other
+is in the group, so of repeated rows one stays; rows of one id and different texts are
+judged each; extra columns, whatever their names, are kept up to packing; empty
+documents give no rows; without labels nothing is toxic, and without benchmark items
+nothing is contaminated.
 """
 
 from __future__ import annotations
