@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW_TOKENS, WINDOW_STRIDE = 510, 384
@@ -51,3 +51,12 @@ def holds_prefix(query: Column, target: Column, size: int = 60) -> Column:
     """Whether the first ``size`` normalised characters of the query, if any, are part of the normalised target."""
     head = F.substring(norm_key(query), 1, size)
     return (head != "") & F.contains(norm_key(target), head)
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, whatever refers to them.
+
+    A plain projection may be merged into what follows, and an expression that a lambda
+    refers to would be computed again for each element.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, windows
+from ..functions.text import computed, tokens, windows
 
 Encoder = Callable[[list[list[str]]], np.ndarray]
 BATCH = 256
@@ -70,5 +70,5 @@ def embed(items: DataFrame, models: DataFrame, factory: Callable[[], Encoder], l
     each = items.crossJoin(F.broadcast(models.select("model", "q_prefix", "d_prefix")))  # a row for each model of the panel
     keys = ["site", "genre", "model", "doc_idx"]
     q = each.select(*keys, F.slice(tokens(F.concat("q_prefix", "query")), 1, limit).alias("words"))
-    d = each.select(*keys, F.posexplode(windows(tokens(F.concat("d_prefix", "target")))).alias("chunk_no", "words"))
+    d = computed(each, tokens=tokens(F.concat("d_prefix", "target"))).select(*keys, F.posexplode(windows(F.col("tokens"))).alias("chunk_no", "words"))
     return encode(q, "words", factory), encode(d, "words", factory)

@@ -30,7 +30,7 @@ def dedup_keep_first(notes: DataFrame, keys: list[str] = CELL, order: str = "src
 
 def attrition(notes: DataFrame, keys: list[str] = CELL) -> DataFrame:
     """Rows before and after deduplication, and the difference, for each cell."""
-    counts = notes.groupBy(*keys).agg(F.count("*").alias("n_before"), F.countDistinct(norm_key(F.col("text"))).alias("n_after"))
+    counts = notes.groupBy(*keys).agg(F.count("*").alias("n_before"), F.countDistinct(F.sha2(norm_key(F.col("text")), 256)).alias("n_after"))
     return counts.withColumn("n_dropped", F.col("n_before") - F.col("n_after"))
 
 
@@ -44,14 +44,23 @@ def equal_samples(rows: DataFrame, keys: list[str] = CELL, by: str = "src_order"
     """Exactly as many rows of every cell as the smallest cell has (or ``size``), in a seeded order.
 
     The order is of hashes, so the sample is the same however the rows are
-    partitioned. ``index`` names a column for the place in the sample, from 0.
+    partitioned. ``by`` tells the rows of a cell apart. ``index`` names a column for the
+    place in the sample, from 0. Places are found among ids and hashes alone: rows are
+    counted by ranges of hashes, ranges beyond the cut are left out, and the others are
+    ordered each for itself; the chosen ids are then joined to their rows.
     """
-    order = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string"))), by)
-    least = F.lit(size) if size is not None else F.col("least")
-    ranked = rows.withColumn("place", F.row_number().over(order))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string")))
+    ids = rows.select(*keys, by, h.alias("h")).withColumn("range", F.substring("h", 1, 3))
+    counts = ids.groupBy(*keys, "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 4,096 ranges at most
+    counts = counts.withColumn("before", before)
     if size is None:
         smallest = rows.groupBy(*keys).count().agg(F.min("count").alias("least"))
-        ranked = ranked.crossJoin(F.broadcast(smallest))  # one number
-    out = ranked.where(F.col("place") <= least)
-    out = out.withColumn(index, (F.col("place") - 1).cast("bigint")) if index else out
-    return out.drop("place", "least")
+        counts = counts.crossJoin(F.broadcast(smallest))  # one number
+    else:
+        counts = counts.withColumn("least", F.lit(size))
+    near = ids.join(counts.where("before < least").select(*keys, "range", "before", "least"), [*keys, "range"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "range").orderBy("h", by))
+    chosen = near.withColumn("place", place).where(F.col("place") <= F.col("least"))
+    chosen = chosen.select(*keys, by, *([(F.col("place") - 1).cast("bigint").alias(index)] if index else []))
+    return rows.join(chosen, [*keys, by])

@@ -74,7 +74,8 @@ def canon_tokens(spark, sf):
 
 @query
 def token_windows(spark, sf):
-    w = views.table(spark, sf, "documents").select("doc_id", F.posexplode(T.windows(T.tokens(F.col("text")), 51, 38)).alias("window_no", "w"))
+    w = T.computed(views.table(spark, sf, "documents").select("doc_id", "text"), tokens=T.tokens(F.col("text")))
+    w = w.select("doc_id", F.posexplode(T.windows(F.col("tokens"), 51, 38)).alias("window_no", "w"))
     return w.select("doc_id", F.col("window_no").cast("bigint").alias("window_no"), F.size("w").cast("bigint").alias("n"), F.col("w")[0].alias("first"), F.element_at("w", -1).alias("last"))
 
 
@@ -85,7 +86,7 @@ def window_counts(spark, sf):
 
 @query
 def leak_guard(spark, sf):
-    d = views.notes(spark, sf).withColumn("query", F.substring("text", 1, 90)).withColumn("target", F.when(F.col("src_order") % 3 == 0, F.col("text")).otherwise(F.substring("text", 91, 10**6)))
+    d = views.notes(spark, sf).withColumn("query", F.substring("text", 1, 90)).withColumn("target", F.when(F.col("src_order") % 3 == 0, F.col("text")).otherwise(F.expr("substr(text, 91)")))
     return audit.leaks(d)
 
 
@@ -267,7 +268,7 @@ def l2_normalize(spark, sf):
 
 @query
 def anisotropy(spark, sf):
-    return rounded(geometry.anisotropy(views.items(spark, sf)[1], 60), "mean_cos", "p95_cos", "mean_norm", "centroid_cos")
+    return rounded(geometry.anisotropy(views.items(spark, sf)[1]), "mean_cos", "p95_cos", "mean_norm", "centroid_cos")
 
 
 @query
@@ -351,7 +352,7 @@ def boot_mrr_ci(spark, sf):
 
 @query
 def boot_joint_mrr(spark, sf):
-    return rounded(bootstrap.boot_means(ranks(spark, sf), 50).withColumn("replicate", F.col("replicate").cast("bigint")), "rr")
+    return rounded(bootstrap.boot_means(ranks(spark, sf)).withColumn("replicate", F.col("replicate").cast("bigint")), "rr")
 
 
 @query

@@ -146,6 +146,33 @@ def _sensitivity() -> str:
     return f"WITH {', '.join(ctes)}, {SCOPES}, c AS ({' UNION ALL '.join(means)}), m AS (SELECT scopes.scope, c.* FROM c JOIN scopes USING (model)), {decompose('policy, scope')} SELECT policy, scope, {rounded(*TERMS.split(', '))}, {verdict} FROM de"
 
 
+NARRATIVE = lambda src: f"""{doc_frequency(src)}, nd AS (SELECT site, genre, count(*) AS n_docs FROM {src} GROUP BY ALL),
+fl AS (SELECT site, genre, src_order, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g') AS t FROM {src}),
+se AS (SELECT site, genre, src_order, unnest(string_split(t, chr(1))) AS text, unnest(range(len(string_split(t, chr(1))))) AS at_ FROM fl),
+sw AS (SELECT *, {WORDS} AS words FROM se), ew AS (SELECT site, genre, src_order, at_, text, unnest(words) AS word FROM sw WHERE len(words) BETWEEN 8 AND 40),
+sc AS (SELECT site, genre, src_order, at_, text, round(avg(ln(n_docs / df)), 9) AS rarity FROM ew JOIN df USING (site, genre, word) JOIN nd USING (site, genre) GROUP BY ALL),
+nq AS (SELECT site, genre, src_order, text AS query FROM sc QUALIFY row_number() OVER (PARTITION BY site, genre, src_order ORDER BY rarity DESC, at_) = 1)"""
+CANON = lambda c: f"list_transform({c}, lambda y: regexp_replace(lower(y), '[^a-z]', '', 'g'))"
+#: Queries taken out of their documents: places, spans, agreements, and what is left.
+EXCLUDED = f"""{NOTES}, {KEPT}, {FIRST}, l AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM uniq GROUP BY site, genre)),
+pool AS (SELECT site, genre, src_order, text FROM (SELECT *, row_number() OVER (PARTITION BY site, genre ORDER BY md5('42:' || src_order), src_order) AS place FROM uniq), l WHERE place <= least),
+{NARRATIVE("pool")},
+tw AS (SELECT src_order, site, genre, query, {TOKENS} AS raw, list_filter({CANON(TOKENS.replace("(text,", "(query,"))}, lambda y: length(y) >= 2) AS want FROM pool JOIN nq USING (site, genre, src_order)),
+tb AS (SELECT *, {CANON("raw")} AS bare FROM tw),
+pl AS (SELECT src_order, want, bare, unnest(range(len(bare))) AS place FROM tb WHERE len(want) >= 5),
+nr AS (SELECT src_order, want, place, bare[place + 1 : place + len(want) * 5 // 2 + 10] AS near FROM pl WHERE bare[place + 1] = want[1]),
+en AS (SELECT *, unnest(range(len(near))) AS e FROM nr),
+sp AS (SELECT src_order, want, place, e, list_filter(near[1 : e + 1], lambda y: y <> '') AS span FROM en WHERE near[e + 1] = want[-1]),
+sh AS (SELECT src_order, place, e, len(list_filter(span, lambda y: list_contains(want, y))) / len(span) AS own, len(list_distinct(list_filter(span, lambda y: list_contains(want, y)))) / len(list_distinct(want)) AS found FROM sp),
+b1 AS (SELECT src_order, place AS b, place + e + 1 AS e FROM sh WHERE own >= 0.6 AND found >= 0.6 QUALIFY row_number() OVER (PARTITION BY src_order ORDER BY place, own + found DESC, e) = 1),
+ag AS (SELECT *, unnest(range(5, len(want) + 1)) AS n FROM nr),
+b2 AS (SELECT src_order, place AS b, place + 2 * n AS e FROM ag WHERE list_filter(near[1 : 2 * n], lambda y: y <> '')[1 : n] = want[1 : n] QUALIFY row_number() OVER (PARTITION BY src_order ORDER BY n DESC, place) = 1),
+cu1 AS (SELECT site, genre, src_order, query, raw, coalesce(b1.b, b2.b, 0) AS b, coalesce(b1.e, b2.e, 0) AS e FROM tb LEFT JOIN b1 USING (src_order) LEFT JOIN b2 USING (src_order)),
+tg AS (SELECT site, genre, src_order, query, array_to_string(list_concat(raw[1 : b], raw[e + 1 :]), ' ') AS target FROM cu1),
+lk AS (SELECT *, substr({KEY_OF("query")}, 1, 60) AS head, {KEY_OF("target")} AS key FROM tg WHERE length(target) >= 100),
+ex AS (SELECT site, genre, src_order, query, target, head, key FROM lk WHERE NOT (head <> '' AND contains(key, head)))"""
+
+
 ORACLE_SQL = {
     "note_scan_min_chars": "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE length(text) >= 400",
     "note_era_share": f"""WITH {NOTES} SELECT site, genre, min(year) AS min_year, max(year) AS max_year, quantile_cont(year, 0.5)::DOUBLE AS median_year, round(avg((year BETWEEN 2008 AND 2019)::INT), 6) AS share_era,
@@ -158,15 +185,12 @@ SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_filter(c, lambda x: x <> '')
 i AS (SELECT doc_id, w, unnest(range(c)) AS window_no FROM n), s AS (SELECT doc_id, window_no, list_slice(w, window_no * 38 + 1, window_no * 38 + 51) AS w FROM i)
 SELECT doc_id, window_no, len(w)::BIGINT AS n, w[1] AS first, w[-1] AS last FROM s""",
     "window_counts": "SELECT n AS n_tokens, (CASE WHEN n = 0 THEN 0 WHEN n <= 510 THEN 1 ELSE ceil((n - 510) / 384.0) + 1 END)::BIGINT AS n_windows FROM range(3000) t(n)",
-    "leak_guard": f"""WITH {NOTES}, p AS (SELECT site, genre, substr(text, 1, 90) AS query, CASE WHEN src_order % 3 = 0 THEN text ELSE substr(text, 91, 1000000) END AS target FROM notes),
+    "leak_guard": f"""WITH {NOTES}, p AS (SELECT site, genre, substr(text, 1, 90) AS query, CASE WHEN src_order % 3 = 0 THEN text ELSE substr(text, 91) END AS target FROM notes),
 k AS (SELECT site, genre, substr({KEY_OF("query")}, 1, 60) AS head, {KEY_OF("target")} AS key FROM p) SELECT site, genre, count(*) FILTER (head <> '' AND contains(key, head)) AS n_leaks, count(*) AS n FROM k GROUP BY ALL""",
     "doc_frequency": f"WITH {NOTES}, {doc_frequency('notes')} SELECT * FROM df",
-    "narrative_query": f"""WITH {NOTES}, {KEPT}, {FIRST}, {doc_frequency('uniq')}, nd AS (SELECT site, genre, count(*) AS n_docs FROM uniq GROUP BY ALL),
-fl AS (SELECT site, genre, src_order, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g') AS t FROM uniq),
-se AS (SELECT site, genre, src_order, unnest(string_split(t, chr(1))) AS text, unnest(range(len(string_split(t, chr(1))))) AS at_ FROM fl),
-sw AS (SELECT *, {WORDS} AS words FROM se), ew AS (SELECT site, genre, src_order, at_, text, unnest(words) AS word FROM sw WHERE len(words) BETWEEN 8 AND 40),
-sc AS (SELECT site, genre, src_order, at_, text, round(avg(ln(n_docs / df)), 9) AS rarity FROM ew JOIN df USING (site, genre, word) JOIN nd USING (site, genre) GROUP BY ALL)
-SELECT site, genre, src_order, text AS query FROM sc QUALIFY row_number() OVER (PARTITION BY site, genre, src_order ORDER BY rarity DESC, at_) = 1""",
+    "narrative_query": f"WITH {NOTES}, {KEPT}, {FIRST}, {NARRATIVE('uniq')} SELECT * FROM nq",
+    "query_exclusion": f"WITH {EXCLUDED} SELECT site, genre, src_order, query, target FROM ex",
+    "leak_proof": f"WITH {EXCLUDED} SELECT site, genre, count(*) FILTER (head <> '' AND contains(key, head)) AS n_leaks, count(*) AS n FROM ex GROUP BY ALL",
     "dedup_keep_first": f"WITH {NOTES}, {KEPT}, {FIRST} SELECT site, genre, src_order, patient, year FROM uniq",
     "attrition": f"WITH {NOTES}, {KEPT}, {FIRST} SELECT site, genre, count(*) AS n_before, count(DISTINCT key) AS n_after, count(*) - count(DISTINCT key) AS n_dropped FROM keyed GROUP BY ALL",
     "equalized_pool": f"""WITH {NOTES}, {KEPT}, {FIRST}, l AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM uniq GROUP BY site, genre))
@@ -200,7 +224,7 @@ SELECT {K3}, band, round(avg(null_mean), 6) AS null_mean FROM b WHERE band IS NO
     "median_chunks": f"WITH {VARIED}, c AS (SELECT site, genre, doc_idx, count(*) AS n FROM d WHERE model = 0 GROUP BY ALL) SELECT site, genre, quantile_cont(n, 0.5)::DOUBLE AS median_chunks FROM c GROUP BY ALL",
     "l2_normalize": f"WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS w FROM embeddings), u AS (SELECT vec_id, {unit('w')} AS u FROM e) SELECT vec_id, round(sqrt(list_inner_product(u, u)), 6) AS norm, round(u[1], 6) AS first FROM u",
     "anisotropy": f"""WITH {ITEMS}, s0 AS (SELECT *, row_number() OVER (PARTITION BY {K3} ORDER BY {draw(42, 'site', 'genre', 'model', 'doc_idx', 'chunk_no')}, doc_idx, chunk_no) AS place FROM d),
-s AS (SELECT {K3}, place, sqrt(list_inner_product(v, v)) AS size, {unit('v')} AS u FROM s0 WHERE place <= 60), c0 AS ({mean_v(K3, 's', 'u')}), c AS (SELECT {K3}, {unit('v')} AS c FROM c0),
+s AS (SELECT {K3}, place, sqrt(list_inner_product(v, v)) AS size, {unit('v')} AS u FROM s0 WHERE place <= 2000), c0 AS ({mean_v(K3, 's', 'u')}), c AS (SELECT {K3}, {unit('v')} AS c FROM c0),
 a AS (SELECT {K3}, avg(size) AS mean_norm, avg(list_inner_product(u, c)) AS centroid_cos FROM s JOIN c USING (site, genre, model) GROUP BY ALL),
 o AS (SELECT x.site, x.genre, x.model, avg(list_inner_product(x.u, y.u)) AS mean_cos, quantile_cont(list_inner_product(x.u, y.u), 0.95) AS p95_cos FROM s x JOIN s y ON x.site = y.site AND x.genre = y.genre AND x.model = y.model AND x.place < y.place GROUP BY ALL)
 SELECT {K3}, {rounded('mean_cos', 'p95_cos', 'mean_norm', 'centroid_cos')} FROM o JOIN a USING (site, genre, model)""",
@@ -219,7 +243,7 @@ SELECT {K3}, {rounded('floor', 'high')}, round(high - floor, 6) AS slope, round(
 i AS ({interval('term', 'value', 'v')}), j AS (SELECT quantile_cont(value, 0.025) AS lo9, quantile_cont(value, 0.975) AS hi9 FROM v)
 SELECT i.*, CASE WHEN lo9 > 0 THEN 'site larger' WHEN hi9 < 0 THEN 'genre larger' ELSE 'undecided' END AS verdict FROM i, j""",
     "boot_mrr_ci": f"WITH {RANKS}, {boot(per_cell=True)}, i AS ({interval(K3, 'rr', 'bm')}), p AS (SELECT {K3}, avg(rr) AS mrr FROM r GROUP BY ALL) SELECT {K3}, round(mrr, 6) AS mrr, boot_mean, lo, hi FROM p JOIN i USING (site, genre, model)",
-    "boot_joint_mrr": f"WITH {RANKS}, {boot(50)} SELECT replicate, {K3}, round(rr, 6) AS rr FROM bm",
+    "boot_joint_mrr": f"WITH {RANKS}, {boot()} SELECT replicate, {K3}, round(rr, 6) AS rr FROM bm",
     "boot_hit_ci": f"""WITH {RANKS}, {boot(values=('hit1', 'hit10'))}, h AS (SELECT replicate, site, genre, avg(hit1) AS hit1, avg(hit10) AS hit10 FROM bm GROUP BY ALL),
 l AS (SELECT site, genre, 'hit1' AS term, hit1 AS value FROM h UNION ALL SELECT site, genre, 'hit10', hit10 FROM h) {interval('site, genre, term', 'value', 'l')}""",
     "boot_tau_ci": f"WITH {BOOTED}, {tau('scope, replicate')} {interval('scope, genre', 'tau', 'tau')}",
