@@ -59,3 +59,10 @@ def leaks(pairs: DataFrame, keys: list[str] = CELL) -> DataFrame:
 def truncation(texts: DataFrame, keys: list[str], limit: int = 512) -> DataFrame:
     """The share of texts whose tokens, with two marks added, reach the encoder's limit."""
     return texts.groupBy(*keys).agg(F.avg((F.col("n_tokens") + 2 >= limit).cast("int")).alias("share_truncated"), F.count("*").alias("n"))
+
+
+def encounters(rows: DataFrame, keys: list[str], patient: str = "patient") -> DataFrame:
+    """Encounters (rows) and patients, and encounters a patient: median, most, and the share of patients with several."""
+    each = rows.where(F.col(patient).isNotNull()).groupBy(*keys, patient).agg(F.count("*").alias("n"))
+    per = each.groupBy(*keys).agg(F.count("*").alias("n_patients"), F.percentile("n", F.lit(0.5)).alias("median_encounters"), F.max("n").alias("max_encounters"), F.avg((F.col("n") > 1).cast("int")).alias("share_several"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_encounters")).join(per, keys, "left")

@@ -13,7 +13,8 @@ from .scoring import KEYS, null_curve
 def sample_windows(chunks: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """At most ``size`` windows of each cell and model, in the order of seeded hashes."""
     order = Window.partitionBy(*KEYS).orderBy(draw(seed, *KEYS, "doc_idx", "chunk_no"), "doc_idx", "chunk_no")
-    return chunks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    chosen = chunks.select(*KEYS, "doc_idx", "chunk_no").withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    return chunks.join(chosen, [*KEYS, "doc_idx", "chunk_no"])  # only numbers were ordered
 
 
 def offdiagonal(chunks: DataFrame, size: int = 2000, seed: int = 42) -> DataFrame:

@@ -3,10 +3,10 @@
 Queries are ``site, genre, model, doc_idx, v``; windows have ``chunk_no`` besides. A
 query's relevant document has its own ``doc_idx``. Ties go to the lower ``doc_idx``.
 
-Two paths give the same ranks. The SQL path forms pairs by an equi-join on the cell
-and aggregates the best window of each document before anything is shuffled again.
-The block path cogroups blocks of queries with their cell's windows and multiplies
-matrices; only ranks leave it.
+Two paths give the same ranks. Both deal a cell's queries and its documents into
+blocks, so that a cell is many tiles and none of them holds all of a side. The SQL path
+joins tiles and aggregates the best window of each document before anything is shuffled
+again. The block path multiplies matrices; only counts of better documents leave it.
 """
 
 from __future__ import annotations
@@ -15,18 +15,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import dot, mean_vector, unit
 from .sampling import draw
 
 KEYS = ["site", "genre", "model"]
 TOP_K = 10
+BLOCKS = 4
 
 
-def window_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, mine: str, other: str, blocks: int) -> DataFrame:
+    """Rows dealt by ``doc_idx`` over the blocks of their own side, and one copy for each block of the other."""
+    own = F.pmod(F.xxhash64("doc_idx"), F.lit(blocks)).cast("int")
+    return rows.withColumn(mine, own).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+
+def window_scores(queries: DataFrame, chunks: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """``query_idx, doc_idx, chunk_no, score`` of every pair of a query and a window of its cell and model."""
-    q = queries.select(*KEYS, F.col("doc_idx").alias("query_idx"), F.col("v").alias("qv"))
-    return q.join(chunks.select(*KEYS, "doc_idx", "chunk_no", F.col("v").alias("dv")), KEYS).select(*KEYS, "query_idx", "doc_idx", "chunk_no", dot(F.col("qv"), F.col("dv")).alias("score"))
+    q = _dealt(queries, "i", "j", blocks).select(*KEYS, "i", "j", F.col("doc_idx").alias("query_idx"), F.col("v").alias("qv"))
+    d = _dealt(chunks, "j", "i", blocks).select(*KEYS, "i", "j", "doc_idx", "chunk_no", F.col("v").alias("dv"))
+    return q.join(d, [*KEYS, "i", "j"]).select(*KEYS, "query_idx", "doc_idx", "chunk_no", dot(F.col("qv"), F.col("dv")).alias("score"))
 
 
 def best_window(scores: DataFrame) -> DataFrame:
@@ -34,9 +43,12 @@ def best_window(scores: DataFrame) -> DataFrame:
     return scores.groupBy(*KEYS, "query_idx", "doc_idx").agg(F.max("score").alias("score"))
 
 
-def mean_windows(chunks: DataFrame) -> DataFrame:
-    """One vector a document: the mean of its windows, at length one."""
-    return mean_vector((chunks, [*KEYS, "doc_idx"])).select(*KEYS, "doc_idx", F.lit(0).alias("chunk_no"), unit(F.col("v")).alias("v"))
+def mean_windows(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """One vector a document: the mean of its windows, at length one; that of a document without windows is zero."""
+    mean = mean_vector((chunks, [*KEYS, "doc_idx"])).select(*KEYS, "doc_idx", unit(F.col("v")).alias("mean"))
+    zero = F.transform("v", lambda x: F.lit(0.0))
+    every = queries.select(*KEYS, "doc_idx", zero.alias("zero")).join(mean, [*KEYS, "doc_idx"], "full")
+    return every.select(*KEYS, "doc_idx", F.lit(0).alias("chunk_no"), F.coalesce("mean", "zero").alias("v"))
 
 
 def random_window(chunks: DataFrame, seed: int = 42) -> DataFrame:
@@ -89,11 +101,13 @@ def null_curve(queries: DataFrame, chunks: DataFrame, sample: int = 600, seed: i
     docs = chunks.groupBy(*KEYS, "doc_idx").agg(F.count("*").alias("k"))
     place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(draw(seed, F.lit("doc"), *KEYS, "doc_idx"), "doc_idx"))
     taken = docs.withColumn("place", place).where(F.col("place") <= sample)
-    numbered = queries.withColumn("q_no", F.row_number().over(Window.partitionBy(*KEYS).orderBy("doc_idx")) - 1).withColumn("n_q", F.count("*").over(Window.partitionBy(*KEYS)))
+    ids = queries.select(*KEYS, "doc_idx")  # numbers only; vectors are joined to what has been drawn
+    numbered = ids.withColumn("q_no", F.row_number().over(Window.partitionBy(*KEYS).orderBy("doc_idx")) - 1).withColumn("n_q", F.count("*").over(Window.partitionBy(*KEYS)))
     own = numbered.select(*KEYS, "doc_idx", F.col("q_no").alias("own_no"), "n_q")
     drawn = F.pmod(draw(seed, F.lit("query"), *KEYS, "doc_idx"), F.col("n_q"))
     picked = taken.join(own, [*KEYS, "doc_idx"]).withColumn("drawn", drawn).withColumn("q_no", F.when(F.col("drawn") == F.col("own_no"), F.pmod(F.col("drawn") + 1, F.col("n_q"))).otherwise(F.col("drawn")))
-    pairs = picked.select(*KEYS, "doc_idx", "k", "q_no").join(numbered.select(*KEYS, "q_no", F.col("v").alias("qv")), [*KEYS, "q_no"])
+    pairs = picked.select(*KEYS, "doc_idx", "k", "q_no").join(numbered.select(*KEYS, "q_no", F.col("doc_idx").alias("query_idx")), [*KEYS, "q_no"])
+    pairs = pairs.join(queries.select(*KEYS, F.col("doc_idx").alias("query_idx"), F.col("v").alias("qv")), [*KEYS, "query_idx"])
     scored = pairs.join(chunks.select(*KEYS, "doc_idx", F.col("v").alias("dv")), [*KEYS, "doc_idx"]).groupBy(*KEYS, "doc_idx", "k").agg(F.max(dot(F.col("qv"), F.col("dv"))).alias("score"))
     return scored.groupBy(*KEYS, "k").agg(F.avg("score").alias("null_mean"), F.count("*").alias("n"))
 
@@ -119,30 +133,34 @@ def band(k: Column) -> Column:
     return F.when(k == 1, "1").when(k <= 4, "2-4").when(k <= 8, "5-8").when(k <= 15, "9-15").when(k <= 60, "16-60")
 
 
-def block_ranks(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, blocks: int = 8) -> DataFrame:
-    """``reciprocal_ranks`` by matrix products: blocks of a cell's queries meet the cell's windows in Arrow."""
+def block_ranks(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, blocks: int = BLOCKS) -> DataFrame:
+    """``reciprocal_ranks`` by matrix products: each tile counts the documents of its block that beat a query's own."""
+    q = queries.select(*KEYS, "doc_idx", F.col("v").alias("qv"))
+    own = q.join(chunks.select(*KEYS, "doc_idx", "v"), [*KEYS, "doc_idx"]).groupBy(*KEYS, "doc_idx").agg(F.max(dot(F.col("qv"), F.col("v"))).alias("own"))
+    asked = q.join(own, [*KEYS, "doc_idx"])
 
     def run(key: tuple, q: pa.Table, d: pa.Table) -> pa.Table:
-        empty = not q.num_rows
-        of = np.array(q["doc_idx"].to_pylist(), np.int64)
-        docs, at = np.unique(d["d_doc_idx"].to_numpy(), return_inverse=True) if d.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        rank = np.full(len(of), k + 1)
-        if len(docs) and not empty:
+        of, beaten = np.array(q["doc_idx"].to_pylist(), np.int64), np.zeros(q.num_rows, np.int64)
+        if q.num_rows and d.num_rows:
+            docs, at = np.unique(d["d_doc_idx"].to_numpy(), return_inverse=True)
             order = np.argsort(at, kind="stable")
-            s = np.array(q["v"].to_pylist()) @ np.array(d["d_v"].to_pylist())[order].T
+            s = np.array(q["qv"].to_pylist()) @ np.array(d["d_v"].to_pylist())[order].T
             best = np.maximum.reduceat(s, np.searchsorted(at[order], np.arange(len(docs))), axis=1)
-            mine = np.searchsorted(docs, of)
-            there = (mine < len(docs)) & (docs[np.minimum(mine, len(docs) - 1)] == of)
-            own = best[np.arange(len(of)), np.where(there, mine, 0)][:, None]
-            rank = 1 + ((best > own) | ((best == own) & (docs[None, :] < of[:, None]))).sum(axis=1)
-            rank = np.where(there & (rank <= min(k, len(docs) - 1)), rank, k + 1)
-        found = rank <= k
-        cells = {c: pa.array([key[i].as_py()] * len(of), q.schema.field(c).type if c in q.schema.names else None) for i, c in enumerate(KEYS)}
-        return pa.table({**cells, "doc_idx": of, "rank": pa.array(rank, pa.int64(), mask=~found), "rr": np.where(found, 1 / rank, 0.0)})
-
-    deal = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = queries.select(*KEYS, "doc_idx", "v").withColumn("block", F.pmod(F.xxhash64("doc_idx"), F.lit(blocks)).cast("int")).groupBy(*KEYS, "block")
+            mine = docs[None, :] == of[:, None]
+            mark = np.array(q["own"].to_pylist())[:, None]
+            near = np.isclose(best, mark, rtol=0, atol=1e-12)  # a product and a sum in order differ in the last places
+            beaten = (~mine & ((best > mark) & ~near | near & (docs[None, :] < of[:, None]))).sum(axis=1)
+        cells = {c: pa.array([key[i].as_py()] * len(of), kinds[c]) for i, c in enumerate(KEYS)}
+        return pa.table({**cells, "doc_idx": of, "beaten": beaten})
+
+    left = _dealt(asked, "i", "j", blocks)
     # other names on this side: both may come from one frame, and a cogroup can't tell equal columns apart
-    right = chunks.select(*[F.col(c).alias(f"d_{c}") for c in [*KEYS, "doc_idx", "v"]], deal.alias("d_block")).groupBy(*[f"d_{c}" for c in KEYS], "d_block")
+    right = _dealt(chunks.select(*KEYS, "doc_idx", "v"), "j", "i", blocks)
+    right = right.select(*[F.col(c).alias(f"d_{c}") for c in (*KEYS, "doc_idx", "v", "i", "j")])
     kind = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
-    return left.cogroup(right).applyInArrow(run, ", ".join(f"{c} {kind[c]}" for c in KEYS) + ", doc_idx long, rank long, rr double")
+    kinds = {f.name: to_arrow_type(f.dataType) for f in queries.schema.fields if f.name in KEYS}
+    counted = left.groupBy(*KEYS, "i", "j").cogroup(right.groupBy(*[f"d_{c}" for c in (*KEYS, "i", "j")])).applyInArrow(run, ", ".join(f"{c} {kind[c]}" for c in KEYS) + ", doc_idx long, beaten long")
+    ranked = queries.select(*KEYS, "doc_idx").join(counted.groupBy(*KEYS, "doc_idx").agg((F.sum("beaten") + 1).alias("place")), [*KEYS, "doc_idx"], "left")
+    ranked = ranked.join(F.broadcast(_depth(chunks, k)), KEYS, "left")  # a row for each cell and model
+    rank = F.when(F.col("place") <= F.col("depth"), F.col("place"))
+    return ranked.select(*KEYS, F.col("doc_idx").cast("long").alias("doc_idx"), rank.alias("rank"), F.coalesce(F.lit(1.0) / rank, F.lit(0.0)).alias("rr"))

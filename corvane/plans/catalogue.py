@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import norm, unit
 from ..operators import audit, bootstrap, encode, exclusion, geometry, sampling, scoring, stats
+from ..sources import notes as sources
 from . import flows, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,7 +206,7 @@ def panel_mean_hit(spark, sf):
 @query
 def score_mean_pool(spark, sf):
     q, d = views.items(spark, sf)
-    return rounded(scoring.cell_means(scoring.reciprocal_ranks(scoring.best_window(scoring.window_scores(q, scoring.mean_windows(d))), q)).select(*KEYS, "mrr"), "mrr")
+    return rounded(scoring.cell_means(scoring.reciprocal_ranks(scoring.best_window(scoring.window_scores(q, scoring.mean_windows(d, q))), q)).select(*KEYS, "mrr"), "mrr")
 
 
 @query
@@ -390,6 +392,74 @@ def boot_decomp_ci(spark, sf):
     return rounded(bootstrap.interval(bootstrap.unpivoted(d, by, stats.TERMS), ["scope", "term"], "value"), "boot_mean", "lo", "hi")
 
 
+@query
+def boot_cell_decomp_ci(spark, sf):
+    by = ["scope", "replicate"]
+    boot = stats.with_scope(bootstrap.boot_means(ranks(spark, sf), per_cell=True).withColumnRenamed("rr", "mrr"), views.item_scopes(spark))
+    d = stats.decompose(stats.complete(boot, by), by)
+    return rounded(bootstrap.interval(bootstrap.unpivoted(d, by, stats.TERMS), ["scope", "term"], "value"), "boot_mean", "lo", "hi")
+
+
+@query
+def genre_drop(spark, sf):
+    q, d = views.varied(spark, sf)
+    return rounded(flows.genre_drop(flows.sensitivity(q, d, views.item_scopes(spark), ("maxsim", "length-norm"))), "before", "after", "drop_ratio")
+
+
+@query
+def encounters_per_patient(spark, sf):
+    return rounded(audit.encounters(views.notes(spark, sf), ["site"]), "share_several")
+
+
+# --- tables written and read again
+
+
+def _folder(spark):
+    """A folder that all executors share."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/corvane-{uuid.uuid4().hex}"
+
+
+@query
+def long_notes_read(spark, sf):
+    at = _folder(spark)
+    time = F.concat(F.lit(""), F.col("year").cast("string"), F.lit("-02-03 04:05:06"))
+    sources.write_csv(views.notes(spark, sf).select(F.col("src_order").alias("note_id"), F.col("patient").alias("subject_id"), "text", time.alias("charttime")), at)
+    return sources.read_long_notes(spark, at, "a", "discharge").select("site", "genre", "doc_key", "patient", "year", F.sha2("text", 256).alias("digest"))
+
+
+@query
+def wide_notes_read(spark, sf):
+    at = _folder(spark)
+    n = views.notes(spark, sf)
+    english = F.col("genre") == "en"
+    side = lambda c, mine: F.when(mine, F.col(c))
+    wide = n.select(F.col("patient").alias("patientdurablekey"), side("text", english).alias("Discharge_Summary_Text"), side("year", english).alias("Discharge_Summary_Year"), F.col("src_order").alias("Discharge_Summary_Note_Key"), side("text", ~english).alias("Imaging_Text"), side("year", ~english).alias("Imaging_Year"), F.col("src_order").alias("Imaging_Key"))
+    sources.write_csv(wide, at)
+    return sources.read_wide_notes(spark, at, "b").select("site", "genre", "doc_key", "patient", "year", F.sha2("text", 256).alias("digest"))
+
+
+@query
+def ranks_stored(spark, sf):
+    at = _folder(spark)
+    sources.write_ranks(ranks(spark, sf), at)
+    return rounded(sources.read_ranks(spark, at, [1, 5]).select(F.col("site"), F.col("genre"), F.col("model").cast("bigint").alias("model"), "doc_idx", "rr"), "rr")
+
+
+@query
+def cells_stored(spark, sf):
+    at = _folder(spark)
+    sources.write_cells(sampling.equal_samples(sampling.scan_notes(views.notes(spark, sf)), seed=43, index="doc_idx"), at)
+    return sources.read_cells(spark, at).select("site", "genre", "src_order", "doc_idx", F.sha2("text", 256).alias("digest"))
+
+
+@query
+def mrr_json_stored(spark, sf):
+    at = _folder(spark)
+    m = means(spark, sf)
+    sources.write_mrr_json(m.select(*KEYS, F.round("mrr", 6).alias("mrr"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.col("n").alias("obj")), at)
+    return sources.read_mrr_json(spark, at)
+
+
 # --- published values
 
 

@@ -51,7 +51,7 @@ def scores(queries: DataFrame, chunks: DataFrame, policy: str = "maxsim", seed:
     if policy == "maxsim":
         return best(queries, chunks)
     if policy == "mean":
-        return best(queries, scoring.mean_windows(chunks))
+        return best(queries, scoring.mean_windows(chunks, queries))
     if policy == "single-random":
         return best(queries, scoring.random_window(chunks, seed))
     if policy == "length-norm":
@@ -75,10 +75,10 @@ def evaluate(items: DataFrame, models: DataFrame, encoders: dict[str, tuple[Call
 
 
 def statistics(ranks: DataFrame, models: DataFrame, replicates: int = bootstrap.REPLICATES, seed: int = bootstrap.SEED) -> dict[str, DataFrame]:
-    """Ranks to tables: means and hits, and point values with joint bootstrap intervals of correlation, overlap, regret and variance shares."""
+    """Ranks, which should be a stored table, to tables: means and hits, and point values with joint bootstrap intervals of correlation, overlap, regret and variance shares."""
     scopes, by = scopes_of(models), ["scope", "replicate"]
-    point = stats.with_scope(scoring.cell_means(ranks), scopes).persist()
-    boot = stats.with_scope(bootstrap.boot_means(ranks, replicates, seed).withColumnRenamed("rr", "mrr"), scopes).persist()  # several tables read both
+    point = stats.with_scope(scoring.cell_means(ranks), scopes)
+    boot = stats.with_scope(bootstrap.boot_means(ranks, replicates, seed).withColumnRenamed("rr", "mrr"), scopes)
     order = models.select("model", "panel_ord")
     shares = stats.decompose(stats.complete(boot, by), by)
     return {
@@ -103,3 +103,10 @@ def sensitivity(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, polici
     by = ["policy", "scope"]
     shares = stats.decompose(stats.complete(stats.with_scope(rows, scopes), by), by)
     return shares.withColumn("verdict", stats.genre_verdict(F.col("genre"), F.col("model")))
+
+
+def genre_drop(shares: DataFrame, before: str = "maxsim", after: str = "length-norm") -> DataFrame:
+    """By how much of itself the genre's share of variance drops from one policy to another, for each scope; 0 where there is none."""
+    at = lambda policy: F.max(F.when(F.col("policy") == policy, F.col("genre")))
+    wide = shares.groupBy("scope").agg(at(before).alias("before"), at(after).alias("after"))
+    return wide.withColumn("drop_ratio", F.when(F.col("before") == 0, 0.0).otherwise((F.col("before") - F.col("after")) / F.col("before")))

@@ -250,6 +250,19 @@ l AS (SELECT site, genre, 'hit1' AS term, hit1 AS value FROM h UNION ALL SELECT
     "boot_regret_ci": f"WITH {BOOTED}, {regret('scope, replicate')} {interval('scope, genre, source, destination', 'regret', 'reg')}",
     "boot_overlap_ci": f"WITH {BOOTED}, {overlap('scope, replicate')}, l AS (SELECT scope, genre, 'top3' AS term, top3 AS value FROM ov UNION ALL SELECT scope, genre, 'top5', top5 FROM ov) {interval('scope, genre, term', 'value', 'l')}",
     "boot_decomp_ci": f"WITH {BOOTED}, {decompose('scope, replicate')}, l AS (SELECT scope, unnest([{', '.join(repr(t) for t in TERMS.split(', '))}]) AS term, unnest([{TERMS}]) AS value FROM de) {interval('scope, term', 'value', 'l')}",
+    "boot_cell_decomp_ci": f"WITH {RANKS}, {boot(per_cell=True)}, {SCOPES}, m AS (SELECT scopes.scope, b.replicate, b.site, b.genre, b.model, b.rr AS mrr FROM bm b JOIN scopes USING (model)), {decompose('scope, replicate')}, l AS (SELECT scope, unnest([{', '.join(repr(t) for t in TERMS.split(', '))}]) AS term, unnest([{TERMS}]) AS value FROM de) {interval('scope, term', 'value', 'l')}",
+    "genre_drop": f"""WITH {VARIED}, {SCORES}, {null_curve(600)}, {null_at('nc', 'dk')}, sl AS (SELECT s.site, s.genre, s.model, s.query_idx, s.doc_idx, s.score - nv.null_value AS score FROM s JOIN dk USING (site, genre, model, doc_idx) JOIN nv USING (site, genre, model, k)),
+{ranks_sql('s', 'ra')}, {ranks_sql('sl', 'rb')}, {SCOPES}, c AS (SELECT 'maxsim' AS policy, {K3}, avg(rr) AS mrr FROM ra GROUP BY ALL UNION ALL SELECT 'length-norm', {K3}, avg(rr) FROM rb GROUP BY ALL), m AS (SELECT scopes.scope, c.* FROM c JOIN scopes USING (model)), {decompose('policy, scope')},
+w AS (SELECT scope, max(genre) FILTER (policy = 'maxsim') AS before, max(genre) FILTER (policy = 'length-norm') AS after FROM de GROUP BY ALL)
+SELECT scope, {rounded('before', 'after')}, round(CASE WHEN before = 0 THEN 0 ELSE (before - after) / before END, 6) AS drop_ratio FROM w""",
+    "encounters_per_patient": f"""WITH {NOTES}, e AS (SELECT site, patient, count(*) AS n FROM notes WHERE patient IS NOT NULL GROUP BY ALL), t AS (SELECT site, count(*) AS n_encounters FROM notes GROUP BY ALL)
+SELECT site, any_value(n_encounters) AS n_encounters, count(*) AS n_patients, quantile_cont(n, 0.5)::DOUBLE AS median_encounters, max(n) AS max_encounters, round(avg((n > 1)::INT), 6) AS share_several FROM e JOIN t USING (site) GROUP BY site""",
+    "long_notes_read": f"WITH {NOTES}, {KEPT} SELECT 'a' AS site, 'discharge' AS genre, src_order::VARCHAR AS doc_key, patient, year, sha256(text) AS digest FROM kept",
+    "wide_notes_read": f"WITH {NOTES}, {KEPT} SELECT 'b' AS site, CASE WHEN genre = 'en' THEN 'discharge' ELSE 'imaging' END AS genre, src_order::VARCHAR AS doc_key, patient, year, sha256(text) AS digest FROM kept",
+    "ranks_stored": f"WITH {RANKS} SELECT {K3}, doc_idx, round(rr, 6) AS rr FROM r WHERE model IN (1, 5)",
+    "cells_stored": f"""WITH {NOTES}, {KEPT}, l AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM kept GROUP BY site, genre))
+SELECT site, genre, src_order, place - 1 AS doc_idx, sha256(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY site, genre ORDER BY md5('43:' || src_order), src_order) AS place FROM kept), l WHERE place <= least""",
+    "mrr_json_stored": f"WITH {MEANS} SELECT site::VARCHAR AS site, genre::VARCHAR AS genre, model::VARCHAR AS model, round(mrr, 6) AS mrr, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, n AS obj FROM cell",
     "golden_tau": f"WITH {POINT_SCOPED}, {tau('scope')} SELECT scope, genre, round(tau, 6) AS tau FROM tau",
     "golden_overlap": f"WITH {POINT_SCOPED}, {overlap('scope')} SELECT scope, genre, {rounded('top3', 'top5')} FROM ov",
     "golden_regret": f"WITH {POINT_SCOPED}, mc AS (SELECT * FROM m WHERE scope = 'contrastive'), {regret('scope', 'mc', 'panel_ord')} SELECT scope, genre, source, destination, picked, best, round(regret, 6) AS regret FROM reg",

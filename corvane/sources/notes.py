@@ -67,9 +67,22 @@ def read_ranks(spark: SparkSession, path: str, models: list[str] | None = None)
 
 
 def write_mrr_json(cells: DataFrame, path: str) -> None:
-    """A line for each cell and model: its name, mean reciprocal rank and interval."""
+    """A line for each cell and model: its name, mean reciprocal rank and interval, and the number of objects ranked where there is one."""
     name = F.concat_ws("|", *[F.col(c).cast("string") for c in ("site", "genre", "model")])
-    cells.select(name.alias("cell"), "mrr", "lo", "hi").write.mode("overwrite").json(path)
+    obj = ["obj"] if "obj" in cells.columns else []
+    cells.select(name.alias("cell"), "mrr", "lo", "hi", *obj).write.mode("overwrite").json(path)
+
+
+def read_mrr_json(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_mrr_json`` has written, with the name taken apart."""
+    raw = spark.read.json(path, schema="cell string, mrr double, lo double, hi double, obj bigint")
+    parts = F.split("cell", "\\|")
+    return raw.select(*[parts[i].alias(c) for i, c in enumerate(("site", "genre", "model"))], "mrr", "lo", "hi", "obj")
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows as CSV files that the readers above take, texts unchanged."""
+    rows.write.mode("overwrite").csv(path, header=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -41,3 +41,14 @@ def test_vectors_are_made_once(spark, tmp_path):
     for _ in range(2):
         assert notes.stored_vectors(spark, f"{tmp_path}/v", make).count() == 3
     assert made == [1]
+
+
+def test_documents_without_windows_have_a_mean_vector_of_zeros(spark):
+    from corvane.operators import scoring
+
+    q = spark.createDataFrame([(0, 0, 0, i, [1.0, 0.0]) for i in range(3)], "site int, genre int, model int, doc_idx long, v array<double>")
+    d = spark.createDataFrame([(0, 0, 0, 0, 1, [2.0, 0.0]), (0, 0, 0, 0, 2, [0.0, 2.0]), (0, 0, 0, 1, 1, [-1.0, 0.0])], "site int, genre int, model int, doc_idx long, chunk_no int, v array<double>")
+    got = {r.doc_idx: r.v for r in scoring.mean_windows(d, q).collect()}
+    assert got[2] == [0.0, 0.0] and got[1] == [-1.0, 0.0] and abs(got[0][0] - 0.5**0.5) < 1e-12
+    ranks = {r.doc_idx: r["rank"] for r in scoring.reciprocal_ranks(flows.scores(q, d, "mean"), q).collect()}
+    assert ranks == {0: 1, 1: None, 2: 2}
