@@ -207,3 +207,22 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bad = decisions(marked, items, window, shingle, key=text).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
     return without(docs, materialize(bad, "bad"), F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (text == F.col("bad_key")))
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """The decisions of the query in DuckDB's SQL, by every window of every document."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    windows = "list_transform(range(0, len(words) - n + 1), lambda y: array_to_string(words[y + 1 : y + n], ' '))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS words FROM documents),
+i0 AS (SELECT item_id, {words} AS words FROM benchmark),
+i AS (SELECT item_id, words, least({window}, len(words)) AS n FROM i0 WHERE len(words) > 0),
+w AS (SELECT DISTINCT item_id, n, unnest({windows}) AS win FROM i),
+q AS (SELECT rid, n, unnest(range(len(words) - n + 1)) AS pos, unnest({windows}) AS win FROM d, (SELECT DISTINCT n FROM w) WHERE len(words) >= n),
+h AS (SELECT rid, n, pos, item_id FROM q JOIN w USING (n, win)),
+x AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + n)) AS pos FROM h) GROUP BY rid),
+s AS (SELECT rid, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM h WHERE item_id IS NOT NULL GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN x USING (rid) LEFT JOIN s USING (rid)"""

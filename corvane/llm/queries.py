@@ -67,4 +67,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op8_licenses": licenses.oracle_sql(),
+    "op9_decontaminate": decontaminate.oracle_sql(),
 }

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, kernels, simhash
-from corvane.llm.queries import op9_decontaminate, op10_simhash
+from corvane.llm.queries import ORACLE_SQL, op9_decontaminate, op10_simhash
 
 from . import brute
 
@@ -55,6 +55,20 @@ def test_decontaminate_query(spark, sf):
     assert brute.rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(brute.contamination(docs, items), key=repr)
 
 
+def test_decontaminate_sql(spark, sf, texts, tmp_path):
+    import duckdb
+
+    docs, items = [(d, t) for d, t in texts[0] if len(t or "") < 5000], texts[1]  # the SQL takes the square of a text's length
+    for name, rows, kind in (("documents", docs, "doc_id long, text string"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    for folder, files in ((sf, "parquet"), (str(tmp_path), "parquet/*.parquet")):
+        c = duckdb.connect()
+        for name in ("documents", "benchmark"):
+            c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.{files}'")
+        want = c.sql(ORACLE_SQL["op9_decontaminate"])
+        assert brute.rows(op9_decontaminate(spark, folder), *want.columns) == sorted(want.fetchall(), key=repr)
+
+
 def test_simhash_against_brute_force(spark, texts):
     r = random.Random(2)
     docs = texts[0][:80]
