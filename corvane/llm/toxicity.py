@@ -73,10 +73,21 @@ def swap_terms(text: str, terms: list[str] = IDENTITY_TERMS, pattern: re.Pattern
     return "".join(pattern.sub(lambda m: following[m[0].lower()], s) for s in re.split(r"(?<=[.!?\n])", text))
 
 
+def _new(batches, seen: set):
+    """The rows whose id and hash of the text haven't come in this task."""
+    for batch in batches:
+        keep = []
+        for key in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), strict=True):
+            keep.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _examples(terms):
     def run(batches):
         pattern = re.compile(r"\b(" + "|".join(map(re.escape, terms)) + r")\b", re.IGNORECASE)
-        for rows, data, offsets in K.chunks(batches):
+        seen = set()  # of a sample of max_rows documents
+        for rows, data, offsets in K.chunks(_new(batches, seen)):
             texts = rows.column("text").to_pylist()
             swapped = [swap_terms(t, terms, pattern) if t and pattern.search(t) else "" for t in texts]
             sets = []
@@ -88,7 +99,7 @@ def _examples(terms):
                 t, h = t[new], h[new]
                 sets.append([x.view(np.int64) for x in np.split(h, np.searchsorted(t, np.arange(1, rows.num_rows)))])
             kind = pa.list_(pa.int64())
-            yield pa.record_batch([rows.column("toxic"), pa.array(sets[0], kind), pa.array([s if w else None for s, w in zip(sets[1], swapped, strict=True)], kind)], ["toxic", "have", "swapped"])
+            yield pa.record_batch([*(rows.column(c) for c in ("doc_id", "h", "toxic")), pa.array(sets[0], kind), pa.array([s if w else None for s, w in zip(sets[1], swapped, strict=True)], kind)], ["doc_id", "h", "toxic", "have", "swapped"])
 
     return run
 
@@ -146,8 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, fairness
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     keys = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).distinct()
     sample = materialize(keys.join(label, "doc_id").orderBy("h", "doc_id").limit(max_rows), "labelled")  # at most max_rows rows of three numbers
-    rows = texts.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(sample), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))
-    examples = materialize(rows.select("toxic", "text").mapInArrow(_examples(tuple(terms)), "toxic int, have array<long>, swapped array<long>"), "examples")
+    rows = texts.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(sample), ["doc_id", "h"])
+    examples = materialize(rows.select("doc_id", "h", "toxic", "text").mapInArrow(_examples(tuple(terms)), "doc_id long, h long, toxic int, have array<long>, swapped array<long>"), "examples")
+    if examples.count() > examples.select("doc_id", "h").distinct().count():  # copies in several tasks; the others needn't be shuffled
+        examples = materialize(examples.dropDuplicates(["doc_id", "h"]), "examples")
     totals = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1")).first()
     n, n1 = float(totals["n"]), float(totals["n1"])
     seen = examples.select("toxic", F.explode("have").alias("f")).groupBy("f").agg(F.count("*").alias("a"), F.sum("toxic").alias("k")).where(F.col("a") >= LEAST_ROWS)
