@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, licenses, lmscore, packing, quality, secrets, simhash, tokencount, toxicity
+from . import alignment, ann, binary, centroids, decontaminate, licenses, lmscore, packing, quality, secrets, simhash, tokencount, toxicity
 from .tables import read
 
 
@@ -52,6 +52,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score(read(spark, sf_dir, "documents"))
+
+
+def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.pack(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_token_counts": op2_token_counts,
@@ -63,9 +75,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op11_centroids": op11_centroids,
+    "op12_alignment": op12_alignment,
+    "op13_binary_packing": op13_binary_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_licenses": licenses.oracle_sql(),
     "op9_decontaminate": decontaminate.oracle_sql(),
+    "op11_centroids": centroids.oracle_sql(),
 }

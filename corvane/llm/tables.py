@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/corvane-work"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The table survives lost executors and has no lineage, so nothing upstream is
@@ -30,7 +30,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
