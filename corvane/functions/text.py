@@ -29,6 +29,16 @@ def canon(words: Column) -> Column:
     return F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
 
 
+def split_tokens(collapsed: Column) -> Column:
+    """The tokens of a collapsed text; none of an empty one."""
+    return F.when(collapsed == "", F.array().cast("array<string>")).otherwise(F.split(collapsed, " "))
+
+
+def canon_tokens(collapsed: Column) -> Column:
+    """``canon`` of the tokens of a collapsed text, by one replacement over all of it."""
+    return F.when(collapsed == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(F.lower(collapsed), "[^a-z ]", ""), " "))
+
+
 def window_count(n: Column, size: int = WINDOW_TOKENS, stride: int = WINDOW_STRIDE) -> Column:
     """How many windows ``n`` tokens are cut into: windows start every ``stride`` and the first to reach the end is the last."""
     more = F.ceil((n - size) / F.lit(stride)).cast("int") + 1

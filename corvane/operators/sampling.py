@@ -28,6 +28,11 @@ def dedup_keep_first(notes: DataFrame, keys: list[str] = CELL, order: str = "src
     return keyed.join(first, [*keys, "key", order], "left_semi").drop("key")
 
 
+def first_ids(notes: DataFrame, keys: list[str] = CELL, order: str = "src_order") -> DataFrame:
+    """``keys, order`` of the rows that ``dedup_keep_first`` keeps, where ``order`` tells the rows of a cell apart."""
+    return notes.groupBy(*keys, F.sha2(norm_key(F.col("text")), 256).alias("key")).agg(F.min(order).alias(order)).select(*keys, order)
+
+
 def attrition(notes: DataFrame, keys: list[str] = CELL) -> DataFrame:
     """Rows before and after deduplication, and the difference, for each cell."""
     counts = notes.groupBy(*keys).agg(F.count("*").alias("n_before"), F.countDistinct(F.sha2(norm_key(F.col("text")), 256)).alias("n_after"))

@@ -11,16 +11,14 @@ again. The block path multiplies matrices; only counts of better documents leave
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import dot, mean_vector, unit
+from . import tiles
 from .sampling import draw
+from .tiles import KEYS
 
-KEYS = ["site", "genre", "model"]
 TOP_K = 10
 BLOCKS = 4
 
@@ -133,34 +131,29 @@ def band(k: Column) -> Column:
     return F.when(k == 1, "1").when(k <= 4, "2-4").when(k <= 8, "5-8").when(k <= 15, "9-15").when(k <= 60, "16-60")
 
 
-def block_ranks(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, blocks: int = BLOCKS) -> DataFrame:
-    """``reciprocal_ranks`` by matrix products: each tile counts the documents of its block that beat a query's own."""
-    q = queries.select(*KEYS, "doc_idx", F.col("v").alias("qv"))
-    own = q.join(chunks.select(*KEYS, "doc_idx", "v"), [*KEYS, "doc_idx"]).groupBy(*KEYS, "doc_idx").agg(F.max(dot(F.col("qv"), F.col("v"))).alias("own"))
-    asked = q.join(own, [*KEYS, "doc_idx"])
-
-    def run(key: tuple, q: pa.Table, d: pa.Table) -> pa.Table:
-        of, beaten = np.array(q["doc_idx"].to_pylist(), np.int64), np.zeros(q.num_rows, np.int64)
-        if q.num_rows and d.num_rows:
-            docs, at = np.unique(d["d_doc_idx"].to_numpy(), return_inverse=True)
-            order = np.argsort(at, kind="stable")
-            s = np.array(q["qv"].to_pylist()) @ np.array(d["d_v"].to_pylist())[order].T
-            best = np.maximum.reduceat(s, np.searchsorted(at[order], np.arange(len(docs))), axis=1)
-            mine = docs[None, :] == of[:, None]
-            mark = np.array(q["own"].to_pylist())[:, None]
-            near = np.isclose(best, mark, rtol=0, atol=1e-12)  # a product and a sum in order differ in the last places
-            beaten = (~mine & ((best > mark) & ~near | near & (docs[None, :] < of[:, None]))).sum(axis=1)
-        cells = {c: pa.array([key[i].as_py()] * len(of), kinds[c]) for i, c in enumerate(KEYS)}
-        return pa.table({**cells, "doc_idx": of, "beaten": beaten})
-
-    left = _dealt(asked, "i", "j", blocks)
-    # other names on this side: both may come from one frame, and a cogroup can't tell equal columns apart
-    right = _dealt(chunks.select(*KEYS, "doc_idx", "v"), "j", "i", blocks)
-    right = right.select(*[F.col(c).alias(f"d_{c}") for c in (*KEYS, "doc_idx", "v", "i", "j")])
-    kind = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
-    kinds = {f.name: to_arrow_type(f.dataType) for f in queries.schema.fields if f.name in KEYS}
-    counted = left.groupBy(*KEYS, "i", "j").cogroup(right.groupBy(*[f"d_{c}" for c in (*KEYS, "i", "j")])).applyInArrow(run, ", ".join(f"{c} {kind[c]}" for c in KEYS) + ", doc_idx long, beaten long")
-    ranked = queries.select(*KEYS, "doc_idx").join(counted.groupBy(*KEYS, "doc_idx").agg((F.sum("beaten") + 1).alias("place")), [*KEYS, "doc_idx"], "left")
+def _placed(queries: DataFrame, counted: DataFrame, chunks: DataFrame, k: int, *more: str) -> DataFrame:
+    """Ranks from how many documents beat a query's own, which is missing where that has no windows."""
+    ranked = queries.select(*KEYS, "doc_idx").join(counted, [*KEYS, "doc_idx"], "left").withColumn("place", F.col("beaten") + 1)
     ranked = ranked.join(F.broadcast(_depth(chunks, k)), KEYS, "left")  # a row for each cell and model
     rank = F.when(F.col("place") <= F.col("depth"), F.col("place"))
-    return ranked.select(*KEYS, F.col("doc_idx").cast("long").alias("doc_idx"), rank.alias("rank"), F.coalesce(F.lit(1.0) / rank, F.lit(0.0)).alias("rr"))
+    return ranked.select(*KEYS, F.col("doc_idx").cast("long").alias("doc_idx"), rank.alias("rank"), F.coalesce(F.lit(1.0) / rank, F.lit(0.0)).alias("rr"), *more)
+
+
+def block_ranks(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, blocks: int | None = None) -> DataFrame:
+    """``reciprocal_ranks`` by matrix products: each tile counts the documents of its block that beat a query's own.
+
+    Without ``blocks`` both sides are dealt over as many as the largest cell asks for.
+    """
+    own, others = (blocks, blocks) if blocks else tiles.block_counts(queries, chunks)
+    left = tiles.dealt(tiles.own_scores(queries, chunks), "i", own, "j", others)
+    right = tiles.dealt(chunks.select(*KEYS, "doc_idx", "v"), "j", others, "i", own)
+    counted = tiles.tiled(left, right, ["i", "j"], tiles.beaten_by, "doc_idx long, beaten long")
+    return _placed(queries, counted.groupBy(*KEYS, "doc_idx").agg(F.sum("beaten").alias("beaten")), chunks, k)
+
+
+def pruned_ranks(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, docs: int = tiles.TILE_WINDOWS // 4) -> DataFrame:
+    """``block_ranks`` over blocks of ``docs`` near documents, of which those that can't hold a better one are skipped.
+
+    ``n_blocks`` and ``n_scored`` tell how many blocks a query's cell has and how many were scored for it.
+    """
+    return _placed(queries, tiles.pruned_beaten(queries, chunks, docs), chunks, k, "n_blocks", "n_scored")

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import norm, unit
-from ..operators import audit, bootstrap, encode, exclusion, geometry, sampling, scoring, stats
+from ..operators import audit, bootstrap, encode, exclusion, geometry, sampling, scoring, stats, tiles
 from ..sources import notes as sources
+from ..sources.stages import Stages, shared_folder, source_version
 from . import flows, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = scoring.KEYS
+#: Patients to a block of the bootstrap.
+PATIENTS = 16
 
 
 def query(f):
@@ -34,13 +37,18 @@ def maxsim(spark, sf, view=views.items):
 
 def ranks(spark, sf, view=views.items):
     s, q, _ = maxsim(spark, sf, view)
-    return scoring.reciprocal_ranks(s, q).withColumn("patient", F.col("doc_idx") % 14)
+    return scoring.reciprocal_ranks(s, q).withColumn("patient", F.expr("doc_idx div 3"))
 
 
 def means(spark, sf, view=views.items):
     return scoring.cell_means(ranks(spark, sf, view))
 
 
+def booted(ranks, **more):
+    """Bootstrap means with blocks of few patients, so that draws are split over several."""
+    return bootstrap.boot_means(ranks, block=PATIENTS, **more)
+
+
 def scoped_means(spark, sf):
     return stats.with_scope(means(spark, sf), views.item_scopes(spark))
 
@@ -102,15 +110,20 @@ def narrative_query(spark, sf):
     return exclusion.narrative_queries(sampling.dedup_keep_first(sampling.scan_notes(views.notes(spark, sf))))
 
 
+def _excluded(spark, sf):
+    """The stored pairs of the documents as they are now."""
+    made_of = (source_version(views.table(spark, sf, "documents")), "notes")
+    return flows.excluded_pairs(views.notes(spark, sf), Stages(spark), made_of)[0]
+
+
 @query
 def query_exclusion(spark, sf):
-    pairs = exclusion.query_target_pairs(sampling.equal_samples(sampling.dedup_keep_first(sampling.scan_notes(views.notes(spark, sf)))))
-    return pairs.select("site", "genre", "src_order", "query", "target")
+    return _excluded(spark, sf).select("site", "genre", "src_order", "query", "target")
 
 
 @query
 def leak_proof(spark, sf):
-    return audit.leaks(query_exclusion(spark, sf))
+    return audit.leaks(_excluded(spark, sf))
 
 
 # --- deduplication, sampling and audits
@@ -167,8 +180,8 @@ def truncation_share(spark, sf):
 
 @query
 def sim_top10(spark, sf):
-    s, _, _ = maxsim(spark, sf)
-    return rounded(scoring.top_k(s).withColumn("rank", F.col("rank").cast("bigint")), "score")
+    q, d = views.items(spark, sf)
+    return rounded(tiles.top_documents(q, d, scoring.TOP_K).withColumn("rank", F.col("rank").cast("bigint")), "score")
 
 
 @query
@@ -182,6 +195,12 @@ def rr_blocks(spark, sf):
     return rounded(scoring.block_ranks(q, d), "rr")
 
 
+@query
+def rr_pruned(spark, sf):
+    q, d = views.items(spark, sf)
+    return rounded(scoring.pruned_ranks(q, d).select(*KEYS, "doc_idx", "rank", "rr"), "rr")
+
+
 @query
 def rr_single_vector(spark, sf):
     q, d = views.items(spark, sf)
@@ -330,7 +349,7 @@ def variance_decomp(spark, sf):
 
 @query
 def interaction_contrast(spark, sf):
-    b = bootstrap.boot_means(ranks(spark, sf)).withColumnRenamed("rr", "mrr")
+    b = booted(ranks(spark, sf)).withColumnRenamed("rr", "mrr")
     d = stats.decompose(stats.complete(b, ["replicate"]), ["replicate"]).select("replicate", (F.col("model_x_site") - F.col("model_x_genre")).alias("value"))
     out = bootstrap.interval(d.withColumn("term", F.lit("contrast")), ["term"], "value")
     return rounded(out.withColumn("verdict", stats.contrast_verdict(F.col("lo"), F.col("hi"))), "boot_mean", "lo", "hi")
@@ -348,23 +367,23 @@ def scoring_sensitivity(spark, sf):
 @query
 def boot_mrr_ci(spark, sf):
     r = ranks(spark, sf)
-    ci = bootstrap.interval(bootstrap.boot_means(r, per_cell=True), KEYS, "rr")
+    ci = bootstrap.interval(booted(r, per_cell=True), KEYS, "rr")
     return rounded(scoring.cell_means(r).select(*KEYS, "mrr").join(ci, KEYS), "mrr", "boot_mean", "lo", "hi")
 
 
 @query
 def boot_joint_mrr(spark, sf):
-    return rounded(bootstrap.boot_means(ranks(spark, sf)).withColumn("replicate", F.col("replicate").cast("bigint")), "rr")
+    return rounded(booted(ranks(spark, sf)).withColumn("replicate", F.col("replicate").cast("bigint")), "rr")
 
 
 @query
 def boot_hit_ci(spark, sf):
-    b = bootstrap.boot_means(ranks(spark, sf), values=("hit1", "hit10")).groupBy("replicate", "site", "genre").agg(F.avg("hit1").alias("hit1"), F.avg("hit10").alias("hit10"))
+    b = booted(ranks(spark, sf), values=("hit1", "hit10")).groupBy("replicate", "site", "genre").agg(F.avg("hit1").alias("hit1"), F.avg("hit10").alias("hit10"))
     return rounded(bootstrap.interval(bootstrap.unpivoted(b, ["replicate", "site", "genre"], ("hit1", "hit10")), ["site", "genre", "term"], "value"), "boot_mean", "lo", "hi")
 
 
 def _scoped_boot(spark, sf, replicates=bootstrap.REPLICATES):
-    return stats.with_scope(bootstrap.boot_means(ranks(spark, sf), replicates).withColumnRenamed("rr", "mrr"), views.item_scopes(spark))
+    return stats.with_scope(booted(ranks(spark, sf), replicates=replicates).withColumnRenamed("rr", "mrr"), views.item_scopes(spark))
 
 
 @query
@@ -395,7 +414,7 @@ def boot_decomp_ci(spark, sf):
 @query
 def boot_cell_decomp_ci(spark, sf):
     by = ["scope", "replicate"]
-    boot = stats.with_scope(bootstrap.boot_means(ranks(spark, sf), per_cell=True).withColumnRenamed("rr", "mrr"), views.item_scopes(spark))
+    boot = stats.with_scope(booted(ranks(spark, sf), per_cell=True).withColumnRenamed("rr", "mrr"), views.item_scopes(spark))
     d = stats.decompose(stats.complete(boot, by), by)
     return rounded(bootstrap.interval(bootstrap.unpivoted(d, by, stats.TERMS), ["scope", "term"], "value"), "boot_mean", "lo", "hi")
 
@@ -416,7 +435,7 @@ def encounters_per_patient(spark, sf):
 
 def _folder(spark):
     """A folder that all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/corvane-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
 
 
 @query

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap, encode, exclusion, geometry, sampling, scoring, stats
+from ..sources.stages import Stages
 
 # The panel's models in order: family, pooling, query prefix, document prefix.
 PANEL = [
@@ -38,11 +40,31 @@ def scopes_of(models: DataFrame) -> DataFrame:
     return models.select(F.explode(F.array(F.lit("full"), F.col("family"))).alias("scope"), "model")
 
 
-def matched_items(notes: DataFrame, seed: int = sampling.SEED) -> DataFrame:
-    """Notes to items: deduplicated, pools equalised, queries taken and excluded, cells matched in size and numbered."""
-    pool = sampling.equal_samples(sampling.dedup_keep_first(sampling.scan_notes(notes)), seed=seed)
-    pairs = exclusion.query_target_pairs(pool)
-    return sampling.equal_samples(pairs, seed=seed + 1, index="doc_idx").select("site", "genre", "doc_idx", "query", "target", "patient", "year")
+def excluded_pairs(notes: DataFrame, stages: Stages | None = None, made_of: tuple[str, ...] | None = None, seed: int = sampling.SEED) -> tuple[DataFrame, tuple[str, ...]]:
+    """Notes to documents with query and target, and what they are made of: deduplicated, pools equalised, queries taken and excluded.
+
+    The ids of the pool, the pool itself, word frequencies, sentences, queries and pairs are
+    stages, each stored once; notes are read for the ids and for the pool's texts.
+    ``made_of`` tells the notes' version; without it nothing stored before is taken.
+    """
+    stages = stages or Stages(notes.sparkSession)
+    made_of = (*(made_of or (uuid.uuid4().hex,)), f"seed {seed}")
+    kept = sampling.scan_notes(notes)
+    ids = stages.table("unique", made_of, lambda: sampling.first_ids(kept))
+    chosen = stages.table("chosen", made_of, lambda: sampling.equal_samples(ids, seed=seed))
+    pool = stages.table("pool", made_of, lambda: kept.join(chosen, [*sampling.CELL, "src_order"], "left_semi"))
+    frequency = stages.table("frequency", made_of, lambda: exclusion.document_frequency(pool))
+    candidates = stages.table("sentences", made_of, lambda: exclusion.sentences(pool))
+    queries = stages.table("queries", made_of, lambda: exclusion.narrative_queries(pool, frequency=frequency, candidates=candidates))
+    return stages.table("pairs", made_of, lambda: exclusion.query_target_pairs(pool, queries=queries)), made_of
+
+
+def matched_items(notes: DataFrame, seed: int = sampling.SEED, stages: Stages | None = None, made_of: tuple[str, ...] | None = None) -> DataFrame:
+    """Notes to items: ``excluded_pairs``, cells matched in size and numbered."""
+    stages = stages or Stages(notes.sparkSession)
+    pairs, made_of = excluded_pairs(notes, stages, made_of, seed)
+    numbers = stages.table("matched", made_of, lambda: sampling.equal_samples(pairs.select(*sampling.CELL, "src_order"), seed=seed + 1, index="doc_idx"))
+    return pairs.join(numbers, [*sampling.CELL, "src_order"]).select("site", "genre", "doc_idx", "query", "target", "patient", "year")
 
 
 def scores(queries: DataFrame, chunks: DataFrame, policy: str = "maxsim", seed: int = 42) -> DataFrame:

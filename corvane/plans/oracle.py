@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.bootstrap import GOLDEN, MIX_A, MIX_B, TAG
 from .views import CELL_MEANS, ITEMS, KEY, LONG, NOTES, POINT_ROWS, SCORES, VARIED, ranks_sql
 
 KEPT = "kept AS (SELECT * FROM notes WHERE text IS NOT NULL AND length(text) >= 400)"
@@ -59,16 +60,33 @@ de AS (SELECT {by}, s3 / nullif(s0, 0) AS model, s5 / nullif(s0, 0) AS site, s6
 TERMS = "model, site, genre, model_x_site, model_x_genre, site_x_genre, model_x_site_x_genre"
 
 
-def boot(replicates: int = 2000, per_cell: bool = False, values: tuple[str, ...] = ("rr",), src: str = "r") -> str:
+def mixed(h: str) -> str:
+    """The bootstrap's 32-bit mix, each step in the place of the one before."""
+    m = "& 4294967295::UBIGINT"
+    steps = (f"(xor(h, h >> 16) * {MIX_A}::UBIGINT) {m}", f"(xor(h, h >> 13) * {MIX_B}::UBIGINT) {m}", "xor(h, h >> 16)")
+    out = f"[({h}) {m}]"
+    for s in steps:
+        out = f"list_transform({out}, lambda h: {s})"
+    return f"{out}[1]"
+
+
+def boot(replicates: int = 2000, per_cell: bool = False, values: tuple[str, ...] = ("rr",), src: str = "r", block: int = 16) -> str:
     unit = ["site", "genre"] if per_cell else ["site"]
     u = ", ".join(unit)
     join = " AND ".join(f"w.{c} = p.{c}" for c in [*unit, "patient"])
-    return f"""rp AS (SELECT *, doc_idx % 14 AS patient FROM {src}),
-cl AS (SELECT *, row_number() OVER (PARTITION BY {u} ORDER BY patient) - 1 AS ix, count(*) OVER (PARTITION BY {u}) AS nc FROM (SELECT DISTINCT {u}, patient FROM rp)),
-sz AS (SELECT DISTINCT {u}, nc FROM cl),
+    step = f"({mixed(f'xor(h, {TAG}::UBIGINT)')} | 1::UBIGINT)"
+    number = lambda below: f"({mixed('h + slot::UBIGINT * g')} % {below}::UBIGINT)::BIGINT"
+    return f"""rp AS (SELECT *, doc_idx // 3 AS patient FROM {src}),
+cl AS (SELECT *, row_number() OVER (PARTITION BY {u} ORDER BY md5(patient::VARCHAR), patient) - 1 AS ix, count(*) OVER (PARTITION BY {u}) AS nc FROM (SELECT DISTINCT {u}, patient FROM rp)),
+sz AS (SELECT {u}, nc, {draw(42, *unit)}::UBIGINT AS us FROM (SELECT DISTINCT {u}, nc FROM cl)),
 rb AS (SELECT unnest(range({replicates})) AS replicate),
-sl AS (SELECT {u}, nc, replicate, unnest(range(nc)) AS slot FROM sz, rb),
-dr AS (SELECT replicate, {u}, {draw(42, "replicate", *unit, "slot")} % nc AS ix, count(*) AS w FROM sl GROUP BY ALL),
+h0 AS (SELECT {u}, nc, replicate, {mixed(f'us + replicate::UBIGINT * {GOLDEN}::UBIGINT')} AS hr FROM sz, rb),
+h1 AS (SELECT *, {mixed('hr')} AS h FROM h0), h2 AS (SELECT *, {step} AS g FROM h1),
+s1 AS (SELECT *, unnest(range(nc)) AS slot FROM h2),
+b1 AS (SELECT {u}, nc, replicate, hr, {number('nc')} // {block} AS part, count(*) AS c FROM s1 GROUP BY ALL),
+h3 AS (SELECT *, least({block}, nc - part * {block}) AS m, {mixed(f'hr + (part + 1)::UBIGINT * {GOLDEN}::UBIGINT')} AS h FROM b1), h4 AS (SELECT *, {step} AS g FROM h3),
+s2 AS (SELECT *, unnest(range(c)) AS slot FROM h4),
+dr AS (SELECT replicate, {u}, part * {block} + {number('m')} AS ix, count(*) AS w FROM s2 GROUP BY ALL),
 w AS (SELECT dr.replicate, {", ".join("dr." + c for c in unit)}, cl.patient, dr.w FROM dr JOIN cl ON {" AND ".join(f"dr.{c} = cl.{c}" for c in [*unit, "ix"])}),
 ps AS (SELECT {K3}, patient, {", ".join(f"sum({v}) AS {v}" for v in values)}, count(*) AS n FROM rp GROUP BY ALL),
 bm AS (SELECT w.replicate, p.site, p.genre, p.model, {", ".join(f"round(sum(w.w * p.{v}) / sum(w.w * p.n), 12) AS {v}" for v in values)} FROM w JOIN ps p ON {join} GROUP BY ALL)"""
@@ -207,6 +225,7 @@ SELECT site, genre, quantile_cont(n, 0.5)::DOUBLE AS median_docs, max(n) AS max_
 SELECT {K3}, query_idx, doc_idx, round(score, 6) AS score, rank FROM k WHERE rank <= least(10, n - 1)""",
     "rr_maxsim": f"WITH {RANKS} SELECT {K3}, doc_idx, rank, round(rr, 6) AS rr, hit1, hit10 FROM r",
     "rr_blocks": f"WITH {RANKS} SELECT {K3}, doc_idx, rank, round(rr, 6) AS rr FROM r",
+    "rr_pruned": f"WITH {RANKS} SELECT {K3}, doc_idx, rank, round(rr, 6) AS rr FROM r",
     "rr_single_vector": f"WITH {ITEMS}, {SCORES.replace('GROUP BY ALL', 'WHERE d.chunk_no = 1 GROUP BY ALL')}, {ranks_sql()} SELECT {K3}, doc_idx, rank, round(rr, 6) AS rr, hit1, hit10 FROM r",
     "mrr_by_cell": f"WITH {MEANS} SELECT {K3}, round(mrr, 6) AS mrr, n FROM cell",
     "hit_at_k": f"WITH {MEANS} SELECT {K3}, {rounded('hit1', 'hit10')} FROM cell",
