@@ -10,8 +10,7 @@ WINDOW_TOKENS, WINDOW_STRIDE = 510, 384
 
 def norm_key(text: Column) -> Column:
     """Lower-cased text without digits (Unicode's), other than a-z as single spaces, trimmed."""
-    bare = F.regexp_replace(F.lower(text), r"\p{Nd}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "[^a-z ]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{Nd}+", ""), "[^a-z]+", " "))
 
 
 def collapse(text: Column) -> Column:

@@ -83,7 +83,7 @@ def test_pairs_are_stored_and_documents_read_twice(spark, sf, tmp_path):
     version = (source_version(views.table(spark, sf, "documents")),)
     s = Stages(spark, str(tmp_path))
     pairs, _ = flows.excluded_pairs(views.notes(spark, sf), s, version)
-    assert s.made == ["unique", "chosen", "pool", "frequency", "sentences", "queries", "pairs"]
+    assert s.made == ["unique", "chosen", "pool", "sentences", "frequency", "queries", "pairs"]
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "documents.parquet" not in plan
     again = Stages(spark, str(tmp_path))
