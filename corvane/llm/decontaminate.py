@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import materialize, without
+from .tables import free_name, materialize, without
 
 WINDOW = 13
 SHINGLE = 4
@@ -205,8 +205,9 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
     """
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bad = decisions(marked, items, window, shingle, key=text).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
-    return without(docs, materialize(bad, "bad"), F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (text == F.col("bad_key")))
+    bad_id, bad_key = free_name(docs, "bad_id"), free_name(docs, "bad_key")
+    bad = decisions(marked, items, window, shingle, key=text).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("key").alias(bad_key)).distinct()
+    return without(docs, materialize(bad, "bad"), F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (text == F.col(bad_key)))
 
 
 def oracle_sql(window: int = WINDOW) -> str:

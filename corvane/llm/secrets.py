@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .tables import mapped_rows
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -285,4 +286,4 @@ def _redact(model: np.ndarray, threshold: float, mark: str):
 
 def redact(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOLD, mark: str = "[secret]") -> DataFrame:
     """The documents with every span replaced by ``mark`` (and ``n_chars``, if there, counted again)."""
-    return docs.mapInArrow(_redact(model, threshold, mark), docs.schema)
+    return mapped_rows(docs, _redact(model, threshold, mark))

@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernels as K
-from .tables import materialize, without
+from .tables import free_name, materialize, without
 
 WORDS = 3
 SEED = 42
@@ -166,24 +165,24 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
 def keep_one(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """The documents, all columns, of which one of each component stays: the one of the smallest id, of equal ones the first.
 
-    Documents are written once with their fingerprints and row numbers. What goes is a
-    list of row numbers, found among numbers alone.
+    Documents are written once with row numbers, by Spark alone. Python sees ids, texts and row
+    numbers; what goes is a list of row numbers, found among numbers alone.
     """
-    columns = docs.columns
+    number = free_name(docs, "row_number")
+    full = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
 
     def marked(batches):
         for rows, data, offsets in K.chunks(batches):
-            yield pa.record_batch([*rows.columns, pa.array(simhashes(data, offsets).view(np.int64))], [*columns, "corvane_fp"])
+            yield pa.record_batch([rows.column("row"), rows.column("doc_id"), pa.array(simhashes(data, offsets).view(np.int64))], ["row", "doc_id", "fp"])
 
-    full = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("corvane_fp", T.LongType())]))
-    full = materialize(full.withColumn("corvane_row", F.monotonically_increasing_id()), "marked")
-    rows = full.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("corvane_fp").alias("fp"), F.col("corvane_row").alias("row"))
+    texts = full.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = materialize(texts.mapInArrow(marked, "row long, doc_id long, fp long"), "fingerprints")
     best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
     best = materialize(best, "vertices")
     roots = components(links(best.select("fp"), distance, blocks)).withColumnRenamed("v", "fp")
     stay = best.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select("best.row")
     gone = materialize(rows.select("row").join(stay, "row", "left_anti"), "gone")
-    return without(full, gone.withColumnRenamed("row", "corvane_row"), "corvane_row").select(*columns)
+    return without(full, gone.withColumnRenamed("row", number), number).select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
 
 
 def hex16(fp: str = "fp"):

@@ -34,6 +34,20 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with a number behind it, such that no column of ``df`` is called so in any capitals."""
+    taken, n = {c.lower() for c in df.columns}, 0
+    while f"{name}{n or ''}".lower() in taken:
+        n += 1
+    return f"{name}{n or ''}"
+
+
+def mapped_rows(df: DataFrame, run, known: tuple[str, ...] = ("doc_id", "text", "n_chars")) -> DataFrame:
+    """``df`` after ``run`` of its Arrow batches, which have its columns; those but for ``known`` go by other names there, as Spark can't pass on every name."""
+    plain = df.toDF(*[c if c in known else f"column_{i}" for i, c in enumerate(df.columns)])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def held_out_bucket(doc_id, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus`` (null ids count as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

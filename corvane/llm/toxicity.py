@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import held_out_bucket, materialize
+from .tables import held_out_bucket, mapped_rows, materialize
 
 THRESHOLD = 0.3
 MAX_ROWS = 20_000
@@ -211,4 +211,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for rows, data, offsets in K.chunks(batches):
             yield rows.filter(pa.array(model.score(data, offsets) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped_rows(docs, run)

@@ -247,3 +247,18 @@ def test_pipeline_odd_rows(spark, tmp_path):
         got = corpus_pipeline.run(spark, str(tmp_path)).collect()
         assert {r.doc_id for r in got} == want
         assert sorted(r.length for r in got if r.doc_id == 3) == ([2, 2] if want else [])  # two texts of one id; the repeated row is gone
+
+
+def test_pipeline_keeps_columns_whatever_their_names(spark, tmp_path):
+    names = ["corvane_fp", "corvane_row", "bad_id", "bad_key", "row_number", "Row_Number1", "row", "fp", "h", "toxic", "a.b", "n`c"]
+    kinds = ", ".join("`" + n.replace("`", "``") + "` long" for n in names)
+    docs = spark.createDataFrame([(d, t, *range(7, 7 + len(names))) for d, t in ODD], f"doc_id long, text string, {kinds}")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.schema.names == docs.schema.names, name
+        assert {tuple(r)[2:] for r in kept.collect()} == {tuple(range(7, 7 + len(names)))}, name
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 1, 3, 4}  # nothing is toxic or contaminated
