@@ -111,14 +111,26 @@ def null_curve(queries: DataFrame, chunks: DataFrame, sample: int = 600, seed: i
 
 
 def null_at(wanted: DataFrame, curve: DataFrame) -> DataFrame:
-    """The curve at each wanted ``k``: linear between its neighbours, level beyond its ends. A curve has a row for each k."""
-    points = curve.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("k", "null_mean"))).alias("points"))
-    below = F.element_at(F.filter("points", lambda p: p["k"] <= F.col("k")), -1)
-    above = F.get(F.filter("points", lambda p: p["k"] >= F.col("k")), F.lit(0))
-    low, high = F.coalesce(F.col("low"), F.col("high")), F.coalesce(F.col("high"), F.col("low"))
+    """The curve at each wanted ``k``: linear between its neighbours, level beyond its ends.
+
+    Points of the curve and the distinct ``k`` wanted are put in one order, and each takes the last
+    point before it and the next one behind: no point is looked for, and no list of points is made.
+    Cells without a curve are absent.
+    """
+    points = curve.select(*KEYS, F.col("k").cast("long").alias("k"), F.struct(F.col("k").cast("long").alias("k"), "null_mean").alias("point"))
+    asked = wanted.select(*KEYS, F.col("k").cast("long").alias("k")).distinct().withColumn("point", F.lit(None).cast(points.schema["point"].dataType))
+    upto = lambda k: Window.partitionBy(*KEYS).orderBy(k).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # noqa: E731  frames that only grow: each is one pass
+    found = points.unionByName(asked).select(
+        *KEYS,
+        "k",
+        "point",
+        F.last("point", ignorenulls=True).over(upto(F.col("k"))).alias("low"),
+        F.last("point", ignorenulls=True).over(upto(F.desc("k"))).alias("high"),
+    )
+    low, high = F.coalesce("low", "high"), F.coalesce("high", "low")
     at = F.when(low["k"] == high["k"], low["null_mean"]).otherwise(low["null_mean"] + (high["null_mean"] - low["null_mean"]) * (F.col("k") - low["k"]) / F.nullif(high["k"] - low["k"], F.lit(0)))
-    found = wanted.join(points, KEYS).withColumn("low", F.when(F.exists("points", lambda p: p["k"] <= F.col("k")), below)).withColumn("high", above)
-    return found.withColumn("null_value", at).drop("points", "low", "high")
+    values = found.where("point is null and (low is not null or high is not null)").select(*KEYS, "k", at.alias("null_value"))
+    return wanted.join(values, [*KEYS, "k"])
 
 
 def length_normalised(scores: DataFrame, chunks: DataFrame, curve: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import norm, unit
-from ..operators import audit, bootstrap, encode, exclusion, geometry, sampling, scoring, stats, tiles
+from ..functions.vectors import dot, norm, unit
+from ..operators import audit, bootstrap, encode, exclusion, geometry, sampling, scoring, selection, stats, tiles
 from ..sources import notes as sources
+from ..sources import vectors
 from ..sources.stages import Stages, shared_folder, source_version
 from . import flows, views
 
@@ -66,11 +67,6 @@ def note_era_share(spark, sf):
     return rounded(audit.era(views.notes(spark, sf)), "share_era", "share_before_2020")
 
 
-@query
-def model_subset_filter(spark, sf):
-    return views.point(spark).where(F.col("model").isin("e5", "gte")).select("model", "site", "genre", "mrr")
-
-
 @query
 def norm_key(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", T.norm_key(F.col("text")).alias("key"))
@@ -89,11 +85,6 @@ def token_windows(spark, sf):
     return w.select("doc_id", F.col("window_no").cast("bigint").alias("window_no"), F.size("w").cast("bigint").alias("n"), F.col("w")[0].alias("first"), F.element_at("w", -1).alias("last"))
 
 
-@query
-def window_counts(spark, sf):
-    return spark.range(3000).select(F.col("id").alias("n_tokens"), T.window_count(F.col("id")).cast("bigint").alias("n_windows"))
-
-
 @query
 def leak_guard(spark, sf):
     d = views.notes(spark, sf).withColumn("query", F.substring("text", 1, 90)).withColumn("target", F.when(F.col("src_order") % 3 == 0, F.col("text")).otherwise(F.expr("substr(text, 91)")))
@@ -270,12 +261,43 @@ def median_chunks(spark, sf):
     return d.groupBy("site", "genre").agg(F.percentile("count", F.lit(0.5)).alias("median_chunks"))
 
 
+def _encoding_panel(spark):
+    return spark.createDataFrame([("plain", "", "", "mean"), ("first", "", "", "cls"), ("prefixed", "query: ", "passage: ", "mean")], "model string, q_prefix string, d_prefix string, pooling string")
+
+
+def _encoded(spark, sf):
+    docs = views.notes(spark, sf).select("site", "genre", F.col("src_order").alias("doc_idx"), F.col("text").alias("query"), F.col("text").alias("target"))
+    return encode.embed(docs, _encoding_panel(spark), encode.LinearEncoder)
+
+
+def _components(df):
+    return df.select("model", "doc_idx", *[c for c in df.columns if c == "chunk_no"], *[F.round(F.col("v")[i].cast("double"), 4).alias(f"v{i}") for i in range(4)])
+
+
 @query
 def encoded_windows(spark, sf):
-    docs = views.table(spark, sf, "documents").select(F.lit(0).alias("site"), F.lit("x").alias("genre"), F.col("doc_id").alias("doc_idx"), F.substring("text", 1, 50).alias("query"), F.col("text").alias("target"))
-    panel = spark.createDataFrame([("plain", "", ""), ("prefixed", "query: ", "passage: ")], "model string, q_prefix string, d_prefix string")
-    _, d = encode.embed(docs, panel, encode.hashed_encoder)
-    return d.select("model", "doc_idx", "chunk_no", F.round(norm(F.col("v")), 4).alias("norm"))
+    return _components(_encoded(spark, sf)[1].withColumn("chunk_no", F.col("chunk_no").cast("bigint")))
+
+
+@query
+def encoded_queries(spark, sf):
+    return _components(_encoded(spark, sf)[0])
+
+
+@query
+def truncation_observed(spark, sf):
+    cells = [(site, genre) for site in (0, 1) for genre in ("en", "other")]
+    texts = views.notes(spark, sf).select("site", "genre", "src_order", "text", F.lit("mean").alias("pooling"))
+    return rounded(flows.encoded_texts(texts, cells, encode.LinearEncoder)[1], "share_truncated")
+
+
+@query
+def vectors_stored(spark, sf):
+    q, d = views.items(spark, sf)
+    stages, made_of = Stages(spark), (source_version(views.table(spark, sf, "embeddings")), "items")
+    asked, windows = vectors.stored_queries(stages, made_of, lambda: q, 8), vectors.stored_chunks(stages, made_of, lambda: d, 8)
+    both = asked.withColumnRenamed("v", "qv").hint("merge").join(windows, list(vectors.KEYS))
+    return rounded(both.groupBy(*vectors.KEYS).agg(F.max(dot(F.col("qv"), F.col("v"))).alias("own"), F.count("*").alias("n_windows")), "own")
 
 
 # --- geometry
@@ -292,6 +314,13 @@ def anisotropy(spark, sf):
     return rounded(geometry.anisotropy(views.items(spark, sf)[1]), "mean_cos", "p95_cos", "mean_norm", "centroid_cos")
 
 
+@query
+def component_percentiles(spark, sf):
+    e = views.table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("pos", "x"))
+    p = selection.percentiles(e.select((F.col("pos") % 4).cast("bigint").alias("part"), F.abs(F.col("x").cast("double")).alias("x")), ["part"], "x", (0.025, 0.5, 0.95), bins=64, few=100)
+    return rounded(p.select("part", *[F.col("p")[i].alias(c) for i, c in enumerate(("low", "middle", "high"))]), "low", "middle", "high")
+
+
 @query
 def anisotropy_closed_form(spark, sf):
     return rounded(geometry.mean_cosine(views.items(spark, sf)[1]), "mean_cos")
@@ -332,6 +361,21 @@ def kendall_tau(spark, sf):
     return rounded(stats.kendall_tau(scoped_means(spark, sf), ["scope"]), "tau")
 
 
+@query
+def kendall_tau_runs(spark, sf):
+    return rounded(stats.kendall_tau_runs(scoped_means(spark, sf), ["scope"], run=3), "tau")
+
+
+@query
+def vector_tau(spark, sf):
+    """How a vector's first component goes with each other one, over all vectors."""
+    e = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("model"), F.posexplode(F.slice("embedding", 1, 8)).alias("pos", "x"))
+    first = e.where("pos = 0").select("model", F.col("x").cast("double").alias("mrr"), F.lit(0).alias("site"))
+    others = e.where("pos > 0").select("model", F.col("x").cast("double").alias("mrr"), F.lit(1).alias("site"), F.col("pos").cast("bigint").alias("genre"))
+    both = first.crossJoin(F.broadcast(others.select("genre").distinct())).unionByName(others)  # seven positions
+    return rounded(stats.kendall_tau_runs(both, [], run=64), "tau")
+
+
 @query
 def topk_overlap(spark, sf):
     return rounded(stats.topk_overlap(scoped_means(spark, sf), ["scope"]), "top3", "top5")
@@ -358,7 +402,7 @@ def interaction_contrast(spark, sf):
 @query
 def scoring_sensitivity(spark, sf):
     q, d = views.varied(spark, sf)
-    return rounded(flows.sensitivity(q, d, views.item_scopes(spark), ("maxsim", "mean", "single-random")), *stats.TERMS)
+    return rounded(flows.sensitivity(q, d, views.item_scopes(spark)), *stats.TERMS)
 
 
 # --- bootstrap
@@ -373,7 +417,7 @@ def boot_mrr_ci(spark, sf):
 
 @query
 def boot_joint_mrr(spark, sf):
-    return rounded(booted(ranks(spark, sf)).withColumn("replicate", F.col("replicate").cast("bigint")), "rr")
+    return rounded(booted(ranks(spark, sf)).withColumn("replicate", F.col("replicate").cast("bigint")), "rr", places=9)  # shares of few documents end in 5 at the seventh place
 
 
 @query
@@ -477,34 +521,3 @@ def mrr_json_stored(spark, sf):
     m = means(spark, sf)
     sources.write_mrr_json(m.select(*KEYS, F.round("mrr", 6).alias("mrr"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.col("n").alias("obj")), at)
     return sources.read_mrr_json(spark, at)
-
-
-# --- published values
-
-
-@query
-def golden_tau(spark, sf):
-    return rounded(stats.kendall_tau(stats.with_scope(views.point(spark), views.point_scopes(spark)), ["scope"]), "tau")
-
-
-@query
-def golden_overlap(spark, sf):
-    return rounded(stats.topk_overlap(stats.with_scope(views.point(spark), views.point_scopes(spark)), ["scope"]), "top3", "top5")
-
-
-@query
-def golden_regret(spark, sf):
-    p = views.point(spark)
-    m = stats.with_scope(p.drop("panel_ord"), views.point_scopes(spark)).where("scope = 'contrastive'")
-    return rounded(stats.selection_regret(m, ["scope"], p.select("model", "panel_ord").distinct()), "regret")
-
-
-@query
-def golden_decomp(spark, sf):
-    return rounded(stats.decompose(stats.with_scope(views.point(spark), views.point_scopes(spark)), ["scope"]), *stats.TERMS)
-
-
-@query
-def golden_verdict(spark, sf):
-    d = golden_decomp(spark, sf)
-    return d.select("scope", stats.genre_verdict(F.col("genre"), F.col("model")).alias("verdict"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, encode, exclusion, geometry, sampling, scoring, stats
+from ..functions.text import computed, tokens
+from ..operators import audit, bootstrap, encode, exclusion, geometry, sampling, scoring, stats
 from ..sources.stages import Stages
 
 # The panel's models in order: family, pooling, query prefix, document prefix.
@@ -67,6 +68,25 @@ def matched_items(notes: DataFrame, seed: int = sampling.SEED, stages: Stages |
     return pairs.join(numbers, [*sampling.CELL, "src_order"]).select("site", "genre", "doc_idx", "query", "target", "patient", "year")
 
 
+def encoded_texts(texts: DataFrame, cells: list[tuple], factory: Callable, stages: Stages | None = None, made_of: tuple[str, ...] | None = None, limit: int = encode.LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Stored vectors of whole ``text``s cut at ``limit`` tokens (other columns, and ``pooling``, as they are), and the share of cut ones in each cell.
+
+    The shares are observed while the vectors are made. Only where an earlier run stored vectors
+    and not the shares are they counted from the stored lengths.
+    """
+    stages, made_of = stages or Stages(texts.sparkSession), made_of or (uuid.uuid4().hex,)
+    seen = Observation()
+
+    def make() -> DataFrame:
+        cut = computed(texts, words=tokens(F.col("text"))).drop("text").withColumn("n_tokens", F.size("words"))
+        cut = audit.observed_truncation(cut, seen, cells, limit=limit + 2).withColumn("words", F.slice("words", 1, limit))
+        return encode.encode_states(cut, "words", factory)
+
+    vectors = stages.table("text_vectors", made_of, make)
+    told = (lambda: audit.truncation_seen(texts, seen, cells)) if "text_vectors" in stages.made else (lambda: audit.truncation(vectors, sampling.CELL, limit + 2))
+    return vectors, stages.table("truncation", made_of, told)
+
+
 def scores(queries: DataFrame, chunks: DataFrame, policy: str = "maxsim", seed: int = 42) -> DataFrame:
     """Document scores under one of ``POLICIES``; without windows a document has a mean vector of zeros, and no score otherwise."""
     best = lambda q, d: scoring.best_window(scoring.window_scores(q, d))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.bootstrap import GOLDEN, MIX_A, MIX_B, TAG
-from .views import CELL_MEANS, ITEMS, KEY, LONG, NOTES, POINT_ROWS, SCORES, VARIED, ranks_sql
+from .views import CELL_MEANS, ITEMS, KEY, LONG, NOTES, SCORES, VARIED, ranks_sql
 
 KEPT = "kept AS (SELECT * FROM notes WHERE text IS NOT NULL AND length(text) >= 400)"
 FIRST = f"keyed AS (SELECT *, {KEY} AS key FROM kept), uniq AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY site, genre, key ORDER BY src_order) = 1)"
@@ -22,8 +22,6 @@ RANKS = f"{ITEMS}, {SCORES}, {ranks_sql()}"
 MEANS = f"{RANKS}, {CELL_MEANS}"
 SCOPES = "scopes AS (SELECT 'full' AS scope, unnest(range(8)) AS model UNION ALL SELECT 'contrastive', unnest(range(5)))"
 SCOPED = "m AS (SELECT scopes.scope, c.* FROM cell c JOIN scopes USING (model))"
-POINT_SCOPES = "scopes AS (SELECT 'full' AS scope, model FROM point WHERE site = 0 AND genre = 'imaging' UNION ALL SELECT 'contrastive', model FROM point WHERE site = 0 AND genre = 'imaging' AND panel_ord < 8)"
-POINT_SCOPED = f"{POINT_ROWS}, {POINT_SCOPES}, m AS (SELECT scopes.scope, p.* FROM point p JOIN scopes USING (model))"
 
 
 def tau(by: str, src: str = "m") -> str:
@@ -150,20 +148,40 @@ def doc_frequency(src: str) -> str:
 KEY_OF = lambda c: KEY.replace("(text)", f"({c})")
 
 def _sensitivity() -> str:
-    """Three policies side by side: their windows differ, and the rest is the same."""
-    parts = {
-        "maxsim": "SELECT * FROM d9",
-        "mean": f"SELECT {K3}, doc_idx, 0 AS chunk_no, {unit('v')} AS v FROM ({mean_v(K3 + ', doc_idx', 'd9')})",
-        "single-random": f"SELECT {K3}, doc_idx, chunk_no, v FROM (SELECT *, row_number() OVER (PARTITION BY {K3}, doc_idx ORDER BY chunk_no) - 1 AS place, {draw(42, 'site', 'genre', 'model', 'doc_idx')} % count(*) OVER (PARTITION BY {K3}, doc_idx) AS drawn FROM d9) WHERE place = drawn",
+    """Five policies side by side: windows, scores or both sides' vectors differ, and the rest is the same."""
+    windows = {
+        "maxsim": "SELECT * FROM d",
+        "mean": f"SELECT {K3}, doc_idx, 0 AS chunk_no, {unit('v')} AS v FROM ({mean_v(K3 + ', doc_idx', 'd')})",
+        "single-random": f"SELECT {K3}, doc_idx, chunk_no, v FROM (SELECT *, row_number() OVER (PARTITION BY {K3}, doc_idx ORDER BY chunk_no) - 1 AS place, {draw(42, 'site', 'genre', 'model', 'doc_idx')} % count(*) OVER (PARTITION BY {K3}, doc_idx) AS drawn FROM d) WHERE place = drawn",
     }
-    ctes, means = [VARIED.replace("d AS (", "d9 AS (")], []
-    for i, (policy, windows) in enumerate(parts.items()):
-        ctes += [f"w{i} AS ({windows})", SCORES.replace("s AS (", f"s{i} AS (").replace("JOIN d ON", f"JOIN w{i} d ON"), ranks_sql(f"s{i}", f"rk{i}_")]
-        means.append(f"SELECT '{policy}' AS policy, {K3}, avg(rr) AS mrr FROM rk{i}_ GROUP BY ALL")
+    less = lambda side: f"(SELECT {side}.* EXCLUDE (v), {unit('u')} AS v FROM (SELECT {side}.*, list_transform(list_zip({side}.v, mu.v), lambda z: z[1] - z[2]) AS u FROM {side} JOIN mu USING (site, genre, model)) {side})"
+    ctes = [VARIED]
+    for i, w in enumerate(windows.values()):
+        ctes += [f"w{i} AS ({w})", SCORES.replace("s AS (", f"s{i} AS (").replace("JOIN d ON", f"JOIN w{i} d ON")]
+    ctes += [null_curve(600), null_at("nc", "dk"), "s3 AS (SELECT s0.site, s0.genre, s0.model, s0.query_idx, s0.doc_idx, s0.score - nv.null_value AS score FROM s0 JOIN dk USING (site, genre, model, doc_idx) JOIN nv USING (site, genre, model, k))"]
+    ctes += [f"mu AS ({mean_v(K3, 'd')})", f"qc AS {less('q')}", f"dc AS {less('d')}", SCORES.replace("s AS (", "s4 AS (").replace("FROM q JOIN d ON", "FROM qc q JOIN dc d ON")]
+    ctes += [ranks_sql(f"s{i}", f"rk{i}_") for i in range(5)]
+    means = [f"SELECT '{policy}' AS policy, {K3}, avg(rr) AS mrr FROM rk{i}_ GROUP BY ALL" for i, policy in enumerate((*windows, "length-norm", "centred"))]
     verdict = "CASE WHEN genre >= 0.3 AND genre >= model THEN 'survives' WHEN genre >= 0.25 THEN 'comparable' ELSE 'collapses' END AS verdict"
     return f"WITH {', '.join(ctes)}, {SCOPES}, c AS ({' UNION ALL '.join(means)}), m AS (SELECT scopes.scope, c.* FROM c JOIN scopes USING (model)), {decompose('policy, scope')} SELECT policy, scope, {rounded(*TERMS.split(', '))}, {verdict} FROM de"
 
 
+def _linear(prefix: str, windowed: bool) -> str:
+    """The linear encoder over whole texts: marks, codes, masked means, and pooling, for one panel of three models."""
+    cut = "unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 510 THEN 1 ELSE ceil((len(w) - 510) / 384)::INT + 1 END))" if windowed else "0"
+    code = lambda d: f"list_transform(ids, lambda y: (y % {d})::DOUBLE)"
+    parts = [f"avg_{d} * 2" for d in (5, 7, 11, 13)]
+    first = [f"avg_{d} + 2 % {d}" for d in (5, 7, 11, 13)]
+    pick = [f"CASE WHEN pooling = 'cls' THEN {f} ELSE {p} END AS x{i}" for i, (f, p) in enumerate(zip(first, parts, strict=True))]
+    size = "greatest(sqrt(" + " + ".join(f"x{i} * x{i}" for i in range(4)) + "), 1e-9)"
+    return f"""pn AS (SELECT * FROM (VALUES ('plain', '', 'mean'), ('first', '', 'cls'), ('prefixed', '{prefix}', 'mean')) t(model, prefix, pooling)),
+tx AS (SELECT model, pooling, src_order AS doc_idx, prefix || text AS text FROM notes, pn), tw AS (SELECT model, pooling, doc_idx, {TOKENS} AS w FROM tx),
+wn AS (SELECT *, {cut} AS chunk_no FROM tw), ww AS (SELECT model, pooling, doc_idx, chunk_no, w[chunk_no * 384 + 1 : chunk_no * 384 + 510] AS w FROM wn),
+wi AS (SELECT model, pooling, doc_idx, chunk_no, list_concat(list_concat([2::BIGINT], list_transform(w, lambda y: 64 * unicode(y)::BIGINT + least(length(y), 63))), [1::BIGINT]) AS ids FROM ww),
+av AS (SELECT model, pooling, doc_idx, chunk_no, {", ".join(f"list_avg({code(d)}) AS avg_{d}" for d in (5, 7, 11, 13))} FROM wi),
+pv AS (SELECT model, doc_idx, chunk_no, {", ".join(pick)} FROM av), nv AS (SELECT model, doc_idx, chunk_no, {", ".join(f"round((x{i} / {size})::FLOAT::DOUBLE, 4) AS v{i}" for i in range(4))} FROM pv)"""
+
+
 NARRATIVE = lambda src: f"""{doc_frequency(src)}, nd AS (SELECT site, genre, count(*) AS n_docs FROM {src} GROUP BY ALL),
 fl AS (SELECT site, genre, src_order, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g') AS t FROM {src}),
 se AS (SELECT site, genre, src_order, unnest(string_split(t, chr(1))) AS text, unnest(range(len(string_split(t, chr(1))))) AS at_ FROM fl),
@@ -195,14 +213,12 @@ ORACLE_SQL = {
     "note_scan_min_chars": "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE length(text) >= 400",
     "note_era_share": f"""WITH {NOTES} SELECT site, genre, min(year) AS min_year, max(year) AS max_year, quantile_cont(year, 0.5)::DOUBLE AS median_year, round(avg((year BETWEEN 2008 AND 2019)::INT), 6) AS share_era,
  round(avg((year < 2020)::INT), 6) AS share_before_2020, min(year) > 2090 AS shifted, count(*) AS n FROM notes WHERE year IS NOT NULL AND year <> 0 GROUP BY ALL""",
-    "model_subset_filter": f"WITH {POINT_ROWS} SELECT model, site, genre, mrr FROM point WHERE model IN ('e5', 'gte')",
     "norm_key": f"SELECT doc_id, {KEY} AS key FROM documents",
     "canon_tokens": f"""WITH w AS (SELECT doc_id, {TOKENS} AS w FROM documents), c AS (SELECT doc_id, w, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')) AS c FROM w)
 SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_filter(c, lambda x: x <> ''))::BIGINT AS n_canon, array_to_string(c, ' ') AS canon FROM c""",
     "token_windows": f"""WITH w AS (SELECT doc_id, {TOKENS} AS w FROM documents), n AS (SELECT *, CASE WHEN len(w) <= 51 THEN 1 ELSE ceil((len(w) - 51) / 38)::INT + 1 END AS c FROM w WHERE len(w) > 0),
 i AS (SELECT doc_id, w, unnest(range(c)) AS window_no FROM n), s AS (SELECT doc_id, window_no, list_slice(w, window_no * 38 + 1, window_no * 38 + 51) AS w FROM i)
 SELECT doc_id, window_no, len(w)::BIGINT AS n, w[1] AS first, w[-1] AS last FROM s""",
-    "window_counts": "SELECT n AS n_tokens, (CASE WHEN n = 0 THEN 0 WHEN n <= 510 THEN 1 ELSE ceil((n - 510) / 384.0) + 1 END)::BIGINT AS n_windows FROM range(3000) t(n)",
     "leak_guard": f"""WITH {NOTES}, p AS (SELECT site, genre, substr(text, 1, 90) AS query, CASE WHEN src_order % 3 = 0 THEN text ELSE substr(text, 91) END AS target FROM notes),
 k AS (SELECT site, genre, substr({KEY_OF("query")}, 1, 60) AS head, {KEY_OF("target")} AS key FROM p) SELECT site, genre, count(*) FILTER (head <> '' AND contains(key, head)) AS n_leaks, count(*) AS n FROM k GROUP BY ALL""",
     "doc_frequency": f"WITH {NOTES}, {doc_frequency('notes')} SELECT * FROM df",
@@ -247,6 +263,14 @@ s AS (SELECT {K3}, place, sqrt(list_inner_product(v, v)) AS size, {unit('v')} AS
 a AS (SELECT {K3}, avg(size) AS mean_norm, avg(list_inner_product(u, c)) AS centroid_cos FROM s JOIN c USING (site, genre, model) GROUP BY ALL),
 o AS (SELECT x.site, x.genre, x.model, avg(list_inner_product(x.u, y.u)) AS mean_cos, quantile_cont(list_inner_product(x.u, y.u), 0.95) AS p95_cos FROM s x JOIN s y ON x.site = y.site AND x.genre = y.genre AND x.model = y.model AND x.place < y.place GROUP BY ALL)
 SELECT {K3}, {rounded('mean_cos', 'p95_cos', 'mean_norm', 'centroid_cos')} FROM o JOIN a USING (site, genre, model)""",
+    "encoded_windows": f"WITH {NOTES}, {_linear('passage: ', True)} SELECT model, doc_idx, chunk_no, v0, v1, v2, v3 FROM nv",
+    "encoded_queries": f"WITH {NOTES}, {_linear('query: ', False)} SELECT model, doc_idx, v0, v1, v2, v3 FROM nv",
+    "truncation_observed": f"WITH {NOTES}, w AS (SELECT site, genre, len({TOKENS}) AS n FROM notes) SELECT site, genre, round(avg((n + 2 >= 512)::INT), 6) AS share_truncated, count(*) AS n FROM w GROUP BY ALL",
+    "vectors_stored": f"WITH {ITEMS} SELECT site, genre, model, doc_idx, round(max(list_inner_product(q.v, d.v)), 6) AS own, count(*) AS n_windows FROM q JOIN d USING (site, genre, model, doc_idx) GROUP BY ALL",
+    "component_percentiles": """WITH e AS (SELECT unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)
+SELECT pos % 4 AS part, round(quantile_cont(abs(x::DOUBLE), 0.025), 6) AS low, round(quantile_cont(abs(x::DOUBLE), 0.5), 6) AS middle, round(quantile_cont(abs(x::DOUBLE), 0.95), 6) AS high FROM e GROUP BY ALL""",
+    "vector_tau": f"""WITH e AS (SELECT vec_id AS model, unnest(range(1, 8)) AS genre, embedding[1]::DOUBLE AS f, unnest(embedding[2:8])::DOUBLE AS x FROM embeddings),
+m AS (SELECT 1 AS one, genre, model, 0 AS site, f AS mrr FROM e UNION ALL SELECT 1, genre, model, 1, x FROM e), {tau('one')} SELECT genre, round(tau, 6) AS tau FROM tau""",
     "anisotropy_closed_form": f"WITH {ITEMS}, {mean_cosine('d')} SELECT {K3}, round(mean_cos, 6) AS mean_cos FROM mc",
     "anisotropy_label": f"WITH {ITEMS}, {mean_cosine('d')}, g AS (SELECT model, avg(mean_cos) AS mean_cos FROM mc GROUP BY ALL) SELECT model, round(mean_cos, 6) AS mean_cos, {LABEL} AS label FROM g",
     "null_slope": f"""WITH {LONG}, {null_curve(800)}, f AS (SELECT {K3}, min_by(null_mean, k) AS floor, sum(null_mean * n) FILTER (k >= 5) / sum(n) FILTER (k >= 5) AS high FROM nc GROUP BY ALL)
@@ -254,6 +278,7 @@ SELECT {K3}, {rounded('floor', 'high')}, round(high - floor, 6) AS slope, round(
     "mean_center_mrr": f"WITH {CENTRED}, {SCORES}, {ranks_sql()}, {CELL_MEANS} SELECT {K3}, round(mrr, 6) AS mrr FROM cell",
     "offdiag_after_centering": f"WITH {CENTRED}, d1 AS (SELECT * FROM d WHERE model = 1), {mean_cosine('d1')} SELECT model, round(avg(mean_cos), 6) AS mean_cos FROM mc GROUP BY ALL",
     "kendall_tau": f"WITH {MEANS}, {SCOPES}, {SCOPED}, {tau('scope')} SELECT scope, genre, round(tau, 6) AS tau FROM tau",
+    "kendall_tau_runs": f"WITH {MEANS}, {SCOPES}, {SCOPED}, {tau('scope')} SELECT scope, genre, round(tau, 6) AS tau FROM tau",
     "topk_overlap": f"WITH {MEANS}, {SCOPES}, {SCOPED}, {overlap('scope')} SELECT scope, genre, {rounded('top3', 'top5')} FROM ov",
     "selection_regret": f"WITH {MEANS}, {SCOPES}, {SCOPED}, {regret('scope')} SELECT scope, genre, source, destination, picked, best, round(regret, 6) AS regret FROM reg",
     "variance_decomp": f"WITH {MEANS}, {SCOPES}, {SCOPED}, {decompose('scope')} SELECT scope, {rounded(*TERMS.split(', '))} FROM de",
@@ -262,7 +287,7 @@ SELECT {K3}, {rounded('floor', 'high')}, round(high - floor, 6) AS slope, round(
 i AS ({interval('term', 'value', 'v')}), j AS (SELECT quantile_cont(value, 0.025) AS lo9, quantile_cont(value, 0.975) AS hi9 FROM v)
 SELECT i.*, CASE WHEN lo9 > 0 THEN 'site larger' WHEN hi9 < 0 THEN 'genre larger' ELSE 'undecided' END AS verdict FROM i, j""",
     "boot_mrr_ci": f"WITH {RANKS}, {boot(per_cell=True)}, i AS ({interval(K3, 'rr', 'bm')}), p AS (SELECT {K3}, avg(rr) AS mrr FROM r GROUP BY ALL) SELECT {K3}, round(mrr, 6) AS mrr, boot_mean, lo, hi FROM p JOIN i USING (site, genre, model)",
-    "boot_joint_mrr": f"WITH {RANKS}, {boot()} SELECT replicate, {K3}, round(rr, 6) AS rr FROM bm",
+    "boot_joint_mrr": f"WITH {RANKS}, {boot()} SELECT replicate, {K3}, round(rr, 9) AS rr FROM bm",
     "boot_hit_ci": f"""WITH {RANKS}, {boot(values=('hit1', 'hit10'))}, h AS (SELECT replicate, site, genre, avg(hit1) AS hit1, avg(hit10) AS hit10 FROM bm GROUP BY ALL),
 l AS (SELECT site, genre, 'hit1' AS term, hit1 AS value FROM h UNION ALL SELECT site, genre, 'hit10', hit10 FROM h) {interval('site, genre, term', 'value', 'l')}""",
     "boot_tau_ci": f"WITH {BOOTED}, {tau('scope, replicate')} {interval('scope, genre', 'tau', 'tau')}",
@@ -282,10 +307,5 @@ SELECT site, any_value(n_encounters) AS n_encounters, count(*) AS n_patients, qu
     "cells_stored": f"""WITH {NOTES}, {KEPT}, l AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM kept GROUP BY site, genre))
 SELECT site, genre, src_order, place - 1 AS doc_idx, sha256(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY site, genre ORDER BY md5('43:' || src_order), src_order) AS place FROM kept), l WHERE place <= least""",
     "mrr_json_stored": f"WITH {MEANS} SELECT site::VARCHAR AS site, genre::VARCHAR AS genre, model::VARCHAR AS model, round(mrr, 6) AS mrr, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, n AS obj FROM cell",
-    "golden_tau": f"WITH {POINT_SCOPED}, {tau('scope')} SELECT scope, genre, round(tau, 6) AS tau FROM tau",
-    "golden_overlap": f"WITH {POINT_SCOPED}, {overlap('scope')} SELECT scope, genre, {rounded('top3', 'top5')} FROM ov",
-    "golden_regret": f"WITH {POINT_SCOPED}, mc AS (SELECT * FROM m WHERE scope = 'contrastive'), {regret('scope', 'mc', 'panel_ord')} SELECT scope, genre, source, destination, picked, best, round(regret, 6) AS regret FROM reg",
-    "golden_decomp": f"WITH {POINT_SCOPED}, {decompose('scope')} SELECT scope, {rounded(*TERMS.split(', '))} FROM de",
-    "golden_verdict": f"WITH {POINT_SCOPED}, {decompose('scope')} SELECT scope, CASE WHEN genre >= 0.3 AND genre >= model THEN 'survives' WHEN genre >= 0.25 THEN 'comparable' ELSE 'collapses' END AS verdict FROM de",
 }
 

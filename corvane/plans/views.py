@@ -45,23 +45,34 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def items(spark: SparkSession, sf: str, per_doc: int = 5, chunks: str = "doc_idx % 4", models: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Queries and windows: of every ``per_doc`` vectors the first is a query, ``1 + chunks`` of the others are windows; model m is 8 of the dimensions."""
-    e = table(spark, sf, "embeddings").select(F.expr(f"vec_id div {per_doc}").alias("doc_idx"), (F.col("vec_id") % per_doc).alias("c"), "embedding")
+#: Vectors of each document of a cycle: windows in number by cell, varying within a cell, and up to ten.
+ITEM_SIZES = (2, 3, 4, 5)
+VARIED_SIZES = tuple(n for n in range(2, 6) for _ in range(4))
+LONG_SIZES = tuple(n for n in range(2, 12) for _ in range(4))
+
+
+def _starts(sizes: tuple[int, ...]) -> str:
+    return ", ".join(str(sum(sizes[:i])) for i in range(len(sizes)))
+
+
+def items(spark: SparkSession, sf: str, sizes: tuple[int, ...] = ITEM_SIZES, models: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Queries and windows: all vectors are dealt over documents of ``sizes``, over and over, of each the first being a query and the others windows; model m is 8 of the dimensions."""
+    at = table(spark, sf, "embeddings").select("embedding", F.expr(f"vec_id div {sum(sizes)}").alias("cycle"), (F.col("vec_id") % sum(sizes)).alias("r"), F.expr(f"array({_starts(sizes)})").alias("starts"))
+    e = at.withColumn("no", F.size(F.filter("starts", lambda x: x <= F.col("r"))) - 1).select("embedding", (F.col("cycle") * len(sizes) + F.col("no")).alias("doc_idx"), (F.col("r") - F.get("starts", "no")).alias("c"))
     m = e.select("doc_idx", "c", "embedding", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(models - 1).cast("bigint"))).alias("model"))
     v = unit(F.slice(F.col("embedding"), (8 * F.col("model") + 1).cast("int"), F.lit(8)))
     x = m.select((F.col("doc_idx") % 2).alias("site"), F.expr("(doc_idx div 2) % 2").alias("genre"), "model", "doc_idx", "c", v.alias("v"))
-    return x.where("c = 0").drop("c"), x.where(f"c >= 1 and c <= 1 + {chunks}").withColumnRenamed("c", "chunk_no")
+    return x.where("c = 0").drop("c"), x.where("c >= 1").withColumnRenamed("c", "chunk_no")
 
 
 def varied(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Items whose number of windows varies within a cell."""
-    return items(spark, sf, 5, "(doc_idx div 4) % 4")
+    return items(spark, sf, VARIED_SIZES)
 
 
 def long(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Items of up to ten windows."""
-    return items(spark, sf, 11, "(doc_idx div 4) % 10")
+    return items(spark, sf, LONG_SIZES)
 
 
 def point(spark: SparkSession) -> DataFrame:
@@ -85,17 +96,18 @@ NOTES = """notes AS (SELECT substr(source, 4, 9)::INT % 2 AS site, CASE WHEN lan
 KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\p{Nd}', '', 'g'), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-def items_sql(per_doc: int = 5, chunks: str = "doc_idx % 4", models: int = 8) -> str:
-    return f"""e AS (SELECT vec_id // {per_doc} AS doc_idx, vec_id % {per_doc} AS c, unnest(range({models})) AS model, embedding::DOUBLE[] AS w FROM embeddings),
+def items_sql(sizes: tuple[int, ...] = ITEM_SIZES, models: int = 8) -> str:
+    return f"""e0 AS (SELECT *, vec_id // {sum(sizes)} AS cycle, vec_id % {sum(sizes)} AS r, [{_starts(sizes)}] AS starts FROM embeddings), e1 AS (SELECT *, len(list_filter(starts, lambda y: y <= r)) AS no FROM e0),
+e AS (SELECT cycle * {len(sizes)} + no - 1 AS doc_idx, r - starts[no] AS c, unnest(range({models})) AS model, embedding::DOUBLE[] AS w FROM e1),
 x0 AS (SELECT doc_idx % 2 AS site, (doc_idx // 2) % 2 AS genre, model, doc_idx, c, list_slice(w, 8 * model + 1, 8 * model + 8) AS w FROM e),
 x1 AS (SELECT *, greatest(sqrt(list_inner_product(w, w)), 1e-9) AS size FROM x0),
 x AS (SELECT site, genre, model, doc_idx, c, list_transform(w, lambda y: y / size) AS v FROM x1),
 q AS (SELECT site, genre, model, doc_idx, v FROM x WHERE c = 0),
-d AS (SELECT site, genre, model, doc_idx, c AS chunk_no, v FROM x WHERE c >= 1 AND c <= 1 + {chunks})"""
+d AS (SELECT site, genre, model, doc_idx, c AS chunk_no, v FROM x WHERE c >= 1)"""
 
 
-VARIED = items_sql(5, "(doc_idx // 4) % 4")
-LONG = items_sql(11, "(doc_idx // 4) % 10")
+VARIED = items_sql(VARIED_SIZES)
+LONG = items_sql(LONG_SIZES)
 ITEMS = items_sql()
 SCORES = """s AS (SELECT q.site, q.genre, q.model, q.doc_idx AS query_idx, d.doc_idx, max(list_inner_product(q.v, d.v)) AS score
   FROM q JOIN d ON q.site = d.site AND q.genre = d.genre AND q.model = d.model GROUP BY ALL)"""
@@ -110,4 +122,3 @@ def ranks_sql(scores: str = "s", out: str = "r") -> str:
 
 
 CELL_MEANS = "cell AS (SELECT site, genre, model, avg(rr) AS mrr, avg(hit1) AS hit1, avg(hit10) AS hit10, count(*) AS n FROM r GROUP BY ALL)"
-POINT_ROWS = "point AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {i}, {s}, '{g}', {x}::DOUBLE)" for i, (m, xs) in enumerate(POINT.items()) for (s, g), x in zip(CELLS, xs, strict=True)) + ") t(model, panel_ord, site, genre, mrr))"

@@ -3,27 +3,42 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions import text
 from corvane.operators import bootstrap, scoring, stats
 from corvane.plans import views
-from corvane.plans.catalogue import QUERIES
 
 
-def test_published_tau(spark, sf):
-    got = {(r.scope, r.genre): round(r.tau, 3) for r in QUERIES["golden_tau"](spark, sf).collect()}
-    assert got == {("contrastive", "discharge"): 0.857, ("contrastive", "imaging"): 0.714, ("full", "discharge"): 0.923, ("full", "imaging"): 0.846}
+def published(spark):
+    return stats.with_scope(views.point(spark), views.point_scopes(spark))
 
 
-def test_published_regret(spark, sf):
-    got = {(r.genre, r.source): (r.picked, r.best, round(r.regret, 3)) for r in QUERIES["golden_regret"](spark, sf).collect()}
+def test_published_tau(spark):
+    for tau in (stats.kendall_tau, stats.kendall_tau_runs):
+        got = {(r.scope, r.genre): round(r.tau, 3) for r in tau(published(spark), ["scope"]).collect()}
+        assert got == {("contrastive", "discharge"): 0.857, ("contrastive", "imaging"): 0.714, ("full", "discharge"): 0.923, ("full", "imaging"): 0.846}
+
+
+def test_published_regret(spark):
+    p = views.point(spark)
+    m = stats.with_scope(p.drop("panel_ord"), views.point_scopes(spark)).where("scope = 'contrastive'")
+    got = {(r.genre, r.source): (r.picked, r.best, round(r.regret, 3)) for r in stats.selection_regret(m, ["scope"], p.select("model", "panel_ord").distinct()).collect()}
     assert got == {("discharge", 0): ("nomic", "gte", 0.009), ("discharge", 1): ("gte", "nomic", 0.041), ("imaging", 0): ("gte", "gte", 0.0), ("imaging", 1): ("gte", "gte", 0.0)}
 
 
-def test_published_overlap_and_decomposition(spark, sf):
-    top = {(r.scope, r.genre): r.top5 for r in QUERIES["golden_overlap"](spark, sf).collect()}
+def test_published_overlap_and_decomposition(spark):
+    top = {(r.scope, r.genre): r.top5 for r in stats.topk_overlap(published(spark), ["scope"]).collect()}
     assert (top["contrastive", "discharge"], top["contrastive", "imaging"]) == (1.0, 0.8)
-    full = QUERIES["golden_decomp"](spark, sf).where("scope = 'full'").first()
+    shares = {r.scope: r for r in stats.decompose(published(spark), ["scope"]).withColumn("verdict", stats.genre_verdict(F.col("genre"), F.col("model"))).collect()}
+    full = shares["full"]
     assert [round(full[t], 3) for t in stats.TERMS] == [0.873, 0.0, 0.057, 0.002, 0.062, 0.002, 0.004]
     assert math.isclose(sum(full[t] for t in stats.TERMS), 1, abs_tol=1e-5)
+    assert (full.verdict, shares["contrastive"].verdict) == ("collapses", "survives")
+
+
+def test_some_models_and_window_counts(spark):
+    assert views.point(spark).where(F.col("model").isin("e5", "gte")).count() == 8
+    count = {r.id: r.n for r in spark.range(3000).select("id", text.window_count(F.col("id")).alias("n")).collect()}
+    assert all(n == (0 if i == 0 else 1 if i <= 510 else math.ceil((i - 510) / 384) + 1) for i, n in count.items())
 
 
 def mrr(spark, rows):
@@ -88,3 +103,52 @@ def test_weights_of_a_replicate_sum_to_the_clusters(spark, sf):
     r = scoring.reciprocal_ranks(*(lambda q, d: (scoring.best_window(scoring.window_scores(q, d)), q))(*views.items(spark, sf))).withColumn("patient", F.col("doc_idx") % 14)
     w = bootstrap.weights(r, 20)
     assert [x[0] for x in w.groupBy("replicate", "site").agg(F.sum("w")).select("sum(w)").distinct().collect()] == [7]
+
+
+def paired(spark, pairs, genre="g"):
+    return spark.createDataFrame([(s, genre, m, float(p[s])) for m, p in enumerate(pairs) for s in (0, 1)], "site int, genre string, model long, mrr double")
+
+
+@pytest.mark.parametrize("run", [2, 7, 65_536])
+@pytest.mark.parametrize("high", [3, 1000])
+def test_tau_by_runs_equals_tau_by_pairs(spark, run, high):
+    import numpy as np
+
+    r = np.random.default_rng(high)
+    df = paired(spark, r.integers(0, high, (90, 2))).union(paired(spark, r.integers(0, high, (20, 2)), "h")).union(paired(spark, [(1, 2), (2, 2), (3, 2)], "tied")).union(paired(spark, [(1, 2), (2, 3)], "few"))
+    want = {x.genre: x.tau for x in stats.kendall_tau(df, []).collect()}
+    got = {x.genre: x.tau for x in stats.kendall_tau_runs(df, [], run).collect()}
+    assert got.keys() == want.keys() == {"g", "h", "tied"} and got["tied"] is None is want["tied"]
+    assert got["g"] == pytest.approx(want["g"], abs=1e-12) and got["h"] == pytest.approx(want["h"], abs=1e-12)
+
+
+def test_signs_of_pairs():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 17, 64, 65):
+        x, y = r.integers(0, 9, n).astype(float), r.integers(0, 7, n).astype(float)
+        assert stats._signs(x, y) == sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(n) for j in range(i))
+
+
+def test_tau_of_many_items(spark):
+    n = 100_000
+    rows = spark.range(2 * n).selectExpr("cast(id % 2 as int) site", "'g' genre", "id div 2 model", "case when id % 2 = 0 then cast(id div 2 as double) else cast((id div 2) div 10 * 10 + 9 - (id div 2) % 10 as double) end mrr")
+    backwards = 45 * n // 10  # the ten of each run are turned around
+    assert stats.kendall_tau_runs(rows, [], 10_000).first().tau == pytest.approx(1 - 2 * backwards / (n * (n - 1) / 2), abs=1e-12)
+
+
+def test_interpolation_takes_many_points(spark):
+    curve = spark.range(100_000).selectExpr("0 site", "0 genre", "0 model", "id * 2 k", "cast(id as double) null_mean")
+    wanted = spark.range(200_010).selectExpr("0 site", "0 genre", "0 model", "id k", "id other")
+    got = scoring.null_at(wanted, curve)
+    assert got.count() == 200_010 and got.where("abs(null_value - least(k / 2D, 99999D)) > 1e-9 or other <> k").count() == 0
+
+
+def test_distinct_counts_leave_out_nulls_and_need_no_expand(spark):
+    from corvane.operators import audit
+
+    rows = [(0, "a", 1, "Text 1", "p"), (0, "a", 2, "text 2", "p"), (0, "a", None, None, None), (0, "a", 2, "text 2", "q"), (1, "b", 1, None, "p")]
+    got = audit.distinct_counts(spark.createDataFrame(rows, "site int, genre string, src_order long, text string, patient string"))
+    assert {tuple(r) for r in got.collect()} == {(0, "a", 4, 2, 2, 1, 2), (1, "b", 1, 1, 0, 0, 1)}
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
