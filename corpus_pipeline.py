@@ -25,23 +25,37 @@ from corvane.llm import decontaminate, packing, secrets, simhash, toxicity
 from corvane.llm.tables import read, shared_dir
 
 
+#: Documents that Spark hands to Python at once: a few MB of text, of which both sides hold several copies.
+ROWS_A_BATCH = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches for this program: a stage's rows are made when they are written, so it can't be set back here."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return toxicity.keep_clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return secrets.redact(docs, secrets.train(secrets.labelled_samples(spark)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.pack(docs)
 
 
