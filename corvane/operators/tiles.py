@@ -114,7 +114,7 @@ def dealt(rows: DataFrame, mine: str, own: int, other: str, others: int) -> Data
     return rows.withColumn(mine, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
-def _cells(frame: DataFrame) -> tuple[str, dict]:
+def cells(frame: DataFrame) -> tuple[str, dict]:
     """The cell's columns as a schema, and as Arrow types."""
     fields = {f.name: f.dataType for f in frame.schema.fields}
     return ", ".join(f"{c} {fields[c].simpleString()}" for c in KEYS), {c: to_arrow_type(fields[c]) for c in KEYS}
@@ -127,7 +127,7 @@ def _named(rows: DataFrame) -> DataFrame:
 
 def tiled(left: DataFrame, right: DataFrame, by: list[str], work, result: str) -> DataFrame:
     """``work(left rows, windows) -> columns`` for each tile that both sides have by the cell and ``by``; the cell's columns come first."""
-    schema, kinds = _cells(left)
+    schema, kinds = cells(left)
     names = [x.split()[0] for x in result.split(", ")]
 
     def run(key: tuple, q: pa.Table, d: pa.Table) -> pa.Table:
@@ -203,12 +203,12 @@ def near_blocks(chunks: DataFrame, docs: int = TILE_WINDOWS // 4, seed: int = 42
     return split.unionByName(missing)
 
 
-def _balls(cells: dict):
+def _balls(kinds: dict):
     def run(key: tuple, d: pa.Table) -> pa.Table:
         v = matrix(d["v"])
         centre = v.mean(axis=0)
         radius = float(np.sqrt(((v - centre) ** 2).sum(axis=1).max()))
-        return pa.table({**{c: pa.array([key[i].as_py()], cells[c]) for i, c in enumerate(KEYS)}, "block": [key[3].as_py()], "v": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius]})
+        return pa.table({**{c: pa.array([key[i].as_py()], kinds[c]) for i, c in enumerate(KEYS)}, "block": [key[3].as_py()], "v": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius]})
 
     return run
 
@@ -220,7 +220,7 @@ def pruned_beaten(queries: DataFrame, chunks: DataFrame, docs: int = TILE_WINDOW
     centre's product plus the query's length times the radius.
     """
     stages, once = stages or Stages(queries.sparkSession), (uuid.uuid4().hex,)
-    schema, kinds = _cells(queries)
+    schema, kinds = cells(queries)
     block = near_blocks(chunks, docs)
     windows = stages.table("windows", once, lambda: chunks.select(*KEYS, "doc_idx", "v").join(block, [*KEYS, "doc_idx"]))
     balls = stages.table("balls", once, lambda: windows.groupBy(*KEYS, "block").applyInArrow(_balls(kinds), f"{schema}, block long, v array<double>, radius double"))

@@ -90,6 +90,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).na.fill("")
 
 
+def resolved_manifest(manifest: DataFrame, revisions: DataFrame) -> DataFrame:
+    """The manifest with ``revision`` and ``revision_secondary`` of its repositories, from ``repo, revision`` rows; blank where there is none. ``write_csv`` stores it."""
+    of = lambda repo, out: F.broadcast(revisions.groupBy(F.col("repo").alias(repo)).agg(F.max("revision").alias(out)))  # noqa: E731  a row for each repository of the panel
+    rows = manifest.drop("revision", "revision_secondary")
+    return rows.join(of("hf_repo", "revision"), "hf_repo", "left").join(of("hf_repo_secondary", "revision_secondary"), "hf_repo_secondary", "left").select(*rows.columns, "revision", "revision_secondary").na.fill("")
+
+
 def stored_vectors(spark: SparkSession, path: str, make) -> DataFrame:
     """The table of vectors at ``path``; made and written first if it isn't there."""
     try:

@@ -1,7 +1,7 @@
 """Tables that several steps share: made once, stored with a commit marker, and taken again while what they are made of is the same.
 
 A stage is told by its name and by what it is made of: versions of its sources, parameters,
-and the versions of the stages before it. Each attempt writes to a folder of its own; a
+and the library's own code. Each attempt writes to a folder of its own; a
 marker, written after that, names the folder of a whole attempt. So a table that a
 lost driver left unfinished, that came from other inputs, or that something else put there is never taken,
 and two jobs that make one stage at a time do no harm.
@@ -13,18 +13,18 @@ shuffle. A session that doesn't know such a table yet attaches it by its marker.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import uuid
 from collections.abc import Callable, Sequence
+from importlib import resources
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Part of every fingerprint: raised when what an operator computes changes, so that older tables aren't taken.
-VERSION = "1"
 MARKER = "path string, schema string, made_of string"
 
 
@@ -39,8 +39,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse}/corvane-work"
 
 
+@functools.cache
+def code_version() -> str:
+    """A digest of the library's own code, part of every fingerprint: a table that older code made isn't taken."""
+    digest = hashlib.sha256()
+    for folder in ("functions", "operators", "plans", "sources"):
+        for at in sorted(resources.files("corvane").joinpath(folder).iterdir(), key=lambda x: x.name):
+            if at.name.endswith(".py"):
+                digest.update(f"{folder}/{at.name}\n".encode() + at.read_bytes())
+    return digest.hexdigest()
+
+
 def fingerprint(*made_of: str) -> str:
-    return hashlib.sha256(json.dumps([VERSION, *made_of]).encode()).hexdigest()[:32]
+    return hashlib.sha256(json.dumps([code_version(), *made_of]).encode()).hexdigest()[:32]
 
 
 def source_version(table: DataFrame) -> str:

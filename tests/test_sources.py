@@ -70,3 +70,12 @@ def test_embedding_of_items(spark):
     assert q.count() == 4
     assert {(r.model, r.doc_idx): r["count"] for r in d.groupBy("model", "doc_idx").count().collect()} == {("m", 0): 3, ("n", 0): 3, ("n", 1): 1}
     assert all(abs(np.linalg.norm(r.v) - 1) < 1e-5 for r in d.collect())
+
+
+def test_manifest_is_resolved_and_written(spark, tmp_path):
+    rows = [("e5", "intfloat/e5", "", "query: ", "old"), ("medcpt", "ncbi/q", "ncbi/d", "", ""), ("x", "none/x", "", "", "")]
+    manifest = spark.createDataFrame(rows, "key string, hf_repo string, hf_repo_secondary string, query_prefix string, revision string")
+    revisions = spark.createDataFrame([("intfloat/e5", "aa"), ("ncbi/q", "bb"), ("ncbi/d", "cc"), ("other", "dd")], "repo string, revision string")
+    notes.write_csv(notes.resolved_manifest(manifest, revisions), f"{tmp_path}/m")
+    got = {r.key: (r.query_prefix, r.revision, r.revision_secondary) for r in notes.read_manifest(spark, f"{tmp_path}/m").collect()}
+    assert got == {"e5": ("query: ", "aa", ""), "medcpt": ("", "bb", "cc"), "x": ("", "", "")}
