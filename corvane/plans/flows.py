@@ -44,7 +44,7 @@ def scopes_of(models: DataFrame) -> DataFrame:
 def excluded_pairs(notes: DataFrame, stages: Stages | None = None, made_of: tuple[str, ...] | None = None, seed: int = sampling.SEED) -> tuple[DataFrame, tuple[str, ...]]:
     """Notes to documents with query and target, and what they are made of: deduplicated, pools equalised, queries taken and excluded.
 
-    The ids of the pool, the pool itself, sentences, word frequencies, queries and pairs are
+    The ids of the pool, the pool itself, its sentences' words, word frequencies, chosen sentences and pairs (less the texts) are
     stages, each stored once; notes are read for the ids and for the pool's texts.
     ``made_of`` tells the notes' version; without it nothing stored before is taken.
     """
@@ -54,10 +54,10 @@ def excluded_pairs(notes: DataFrame, stages: Stages | None = None, made_of: tupl
     ids = stages.table("unique", made_of, lambda: sampling.first_ids(kept))
     chosen = stages.table("chosen", made_of, lambda: sampling.equal_samples(ids, seed=seed))
     pool = stages.table("pool", made_of, lambda: kept.join(chosen, [*sampling.CELL, "src_order"], "left_semi").repartition("src_order"))  # even, however the notes' files are
-    split = stages.table("sentences", made_of, lambda: exclusion.split_sentences(pool))
+    split = stages.table("sentences", made_of, lambda: exclusion.sentence_words(pool))
     frequency = stages.table("frequency", made_of, lambda: exclusion.sentence_frequency(split))
-    queries = stages.table("queries", made_of, lambda: exclusion.narrative_queries(pool, frequency=frequency, split=split))
-    return stages.table("pairs", made_of, lambda: exclusion.query_target_pairs(pool, queries=queries)), made_of
+    queries = stages.table("queries", made_of, lambda: exclusion.chosen_sentences(pool, frequency=frequency, split=split))
+    return stages.table("pairs", made_of, lambda: exclusion.query_target_pairs(pool, chosen=queries).drop("text")), made_of
 
 
 def matched_items(notes: DataFrame, seed: int = sampling.SEED, stages: Stages | None = None, made_of: tuple[str, ...] | None = None) -> DataFrame:

@@ -96,7 +96,7 @@ class Stages:
         found = self._committed(name, key, made_of)
         if found is None:
             df, path = make(), f"{self.folder}/{name}-{key}/{uuid.uuid4().hex}"
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
             found = path, df.schema
             self._commit(name, key, made_of, *found)
         path, schema = found
