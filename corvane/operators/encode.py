@@ -142,14 +142,14 @@ def encode(df: DataFrame, words: str, factory: Callable[[], Encoder], out: str =
     return df.mapInArrow(run, f"{kind}, `{out}` array<float>")
 
 
-def embed(items: DataFrame, models: DataFrame, factory: Callable[[], Encoder | TokenEncoder], limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+def embed(items: DataFrame, models: DataFrame, factory: Callable[[], Encoder | TokenEncoder], limit: int = LIMIT, token_states: bool = False) -> tuple[DataFrame, DataFrame]:
     """Query vectors and window vectors of ``site, genre, doc_idx, query, target`` items for each model of ``model, q_prefix, d_prefix``.
 
     Queries are cut at ``limit`` tokens; targets are cut into windows, the prefix
     being in the first only; a target without tokens, even of a prefix, has none.
-    With a column ``pooling`` in ``models``, the factory's are token encoders, pooled so.
+    With ``token_states`` the factory's are token encoders, pooled as the column ``pooling`` of ``models`` says.
     """
-    pooling = ["pooling"] * ("pooling" in models.columns)
+    pooling = ["pooling"] * token_states
     each = items.crossJoin(F.broadcast(models.select("model", "q_prefix", "d_prefix", *pooling)))  # a row for each model of the panel
     keys = ["site", "genre", "model", "doc_idx", *pooling]
     q = each.select(*keys, F.slice(tokens(F.concat("q_prefix", "query")), 1, limit).alias("words"))

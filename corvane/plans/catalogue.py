@@ -267,7 +267,7 @@ def _encoding_panel(spark):
 
 def _encoded(spark, sf):
     docs = views.notes(spark, sf).select("site", "genre", F.col("src_order").alias("doc_idx"), F.col("text").alias("query"), F.col("text").alias("target"))
-    return encode.embed(docs, _encoding_panel(spark), encode.LinearEncoder)
+    return encode.embed(docs, _encoding_panel(spark), encode.LinearEncoder, token_states=True)
 
 
 def _components(df):

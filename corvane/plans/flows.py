@@ -103,12 +103,12 @@ def scores(queries: DataFrame, chunks: DataFrame, policy: str = "maxsim", seed:
     raise ValueError(f"{policy} is none of {', '.join(POLICIES)}")
 
 
-def evaluate(items: DataFrame, models: DataFrame, encoders: dict[str, tuple[Callable, Callable]], policy: str = "maxsim") -> DataFrame:
+def evaluate(items: DataFrame, models: DataFrame, encoders: dict[str, tuple[Callable, Callable]], policy: str = "maxsim", token_states: bool = False) -> DataFrame:
     """Items to ranks with patients. ``encoders`` has a factory for queries and one for documents of each model (the same, unless it has two)."""
     parts = []
     for model, (of_query, of_document) in encoders.items():
         one = models.where(F.col("model") == model)
-        parts.append((encode.embed(items, one, of_query)[0], encode.embed(items, one, of_document)[1]))
+        parts.append((encode.embed(items, one, of_query, token_states=token_states)[0], encode.embed(items, one, of_document, token_states=token_states)[1]))
     q, d = parts[0]
     for more_q, more_d in parts[1:]:
         q, d = q.unionByName(more_q), d.unionByName(more_d)

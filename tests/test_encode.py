@@ -72,7 +72,7 @@ def test_the_mask_covers_marks_and_words(spark):
 def test_prefix_and_empty_rules(spark):
     items = spark.createDataFrame([(0, "g", 0, "a b", "c d"), (0, "g", 1, "", " ")], "site int, genre string, doc_idx long, query string, target string")
     models = spark.createDataFrame([("p", "q: ", "d: ", "mean"), ("n", "", "", "cls")], "model string, q_prefix string, d_prefix string, pooling string")
-    q, d = encode.embed(items, models, encode.LinearEncoder)
+    q, d = encode.embed(items, models, encode.LinearEncoder, token_states=True)
     windows = {(r.model, r.doc_idx): r.v for r in d.collect()}
     assert set(windows) == {("p", 0), ("p", 1), ("n", 0)}  # no tokens, even of a prefix, no windows
     assert windows["p", 1] == pytest.approx(plain(["d:"], "mean").tolist(), abs=1e-6)
