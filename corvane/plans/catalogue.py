@@ -31,14 +31,8 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-def maxsim(spark, sf, view=views.items):
-    q, d = view(spark, sf)
-    return scoring.best_window(scoring.window_scores(q, d)), q, d
-
-
 def ranks(spark, sf, view=views.items):
-    s, q, _ = maxsim(spark, sf, view)
-    return scoring.reciprocal_ranks(s, q).withColumn("patient", F.expr("doc_idx div 3"))
+    return scoring.ranked(*view(spark, sf)).withColumn("patient", F.expr("doc_idx div 3"))
 
 
 def means(spark, sf, view=views.items):
@@ -195,7 +189,7 @@ def rr_pruned(spark, sf):
 @query
 def rr_single_vector(spark, sf):
     q, d = views.items(spark, sf)
-    return rounded(scoring.reciprocal_ranks(scoring.best_window(scoring.window_scores(q, d.where("chunk_no = 1"))), q), "rr")
+    return rounded(scoring.ranked(q, d.where("chunk_no = 1")), "rr")
 
 
 @query
@@ -216,13 +210,13 @@ def panel_mean_hit(spark, sf):
 @query
 def score_mean_pool(spark, sf):
     q, d = views.items(spark, sf)
-    return rounded(scoring.cell_means(scoring.reciprocal_ranks(scoring.best_window(scoring.window_scores(q, scoring.mean_windows(d, q))), q)).select(*KEYS, "mrr"), "mrr")
+    return rounded(scoring.cell_means(flows.ranks(q, d, "mean")).select(*KEYS, "mrr"), "mrr")
 
 
 @query
 def score_single_random(spark, sf):
     q, d = views.varied(spark, sf)
-    return rounded(scoring.cell_means(scoring.reciprocal_ranks(scoring.best_window(scoring.window_scores(q, scoring.random_window(d))), q)).select(*KEYS, "mrr"), "mrr")
+    return rounded(scoring.cell_means(flows.ranks(q, d, "single-random")).select(*KEYS, "mrr"), "mrr")
 
 
 @query
@@ -239,8 +233,8 @@ def null_interp(spark, sf):
 
 @query
 def score_length_norm(spark, sf):
-    s, q, d = maxsim(spark, sf, views.varied)
-    return rounded(scoring.cell_means(scoring.reciprocal_ranks(scoring.length_normalised(s, d, scoring.null_curve(q, d)), q)).select(*KEYS, "mrr"), "mrr")
+    q, d = views.varied(spark, sf)
+    return rounded(scoring.cell_means(flows.ranks(q, d, "length-norm")).select(*KEYS, "mrr"), "mrr")
 
 
 @query
@@ -339,8 +333,8 @@ def null_slope(spark, sf):
 
 @query
 def mean_center_mrr(spark, sf):
-    q, d = geometry.centred(*views.items(spark, sf))
-    return rounded(scoring.cell_means(scoring.reciprocal_ranks(scoring.best_window(scoring.window_scores(q, d)), q)).select(*KEYS, "mrr"), "mrr")
+    q, d = views.items(spark, sf)
+    return rounded(scoring.cell_means(flows.ranks(q, d, "centred")).select(*KEYS, "mrr"), "mrr")
 
 
 @query

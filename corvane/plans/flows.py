@@ -103,6 +103,22 @@ def scores(queries: DataFrame, chunks: DataFrame, policy: str = "maxsim", seed:
     raise ValueError(f"{policy} is none of {', '.join(POLICIES)}")
 
 
+def ranks(queries: DataFrame, chunks: DataFrame, policy: str = "maxsim", seed: int = 42, k: int = scoring.TOP_K) -> DataFrame:
+    """``scoring.reciprocal_ranks`` of ``scores``, by tiles: no row is made for a pair of a query and a document."""
+    if policy == "maxsim":
+        return scoring.ranked(queries, chunks, k)
+    if policy == "mean":
+        return scoring.ranked(queries, scoring.mean_windows(chunks, queries), k)
+    if policy == "single-random":
+        return scoring.ranked(queries, scoring.random_window(chunks, seed), k)
+    if policy == "length-norm":
+        curve = Stages(queries.sparkSession).table("null_curve", (uuid.uuid4().hex,), lambda: scoring.null_curve(queries, chunks, seed=seed))  # a few rows a cell, read by both sides alike
+        return scoring.ranked(queries, scoring.with_null(chunks, curve), k)
+    if policy == "centred":
+        return scoring.ranked(*geometry.centred(queries, chunks), k)
+    raise ValueError(f"{policy} is none of {', '.join(POLICIES)}")
+
+
 def evaluate(items: DataFrame, models: DataFrame, encoders: dict[str, tuple[Callable, Callable]], policy: str = "maxsim", token_states: bool = False) -> DataFrame:
     """Items to ranks with patients. ``encoders`` has a factory for queries and one for documents of each model (the same, unless it has two)."""
     parts = []
@@ -112,8 +128,7 @@ def evaluate(items: DataFrame, models: DataFrame, encoders: dict[str, tuple[Call
     q, d = parts[0]
     for more_q, more_d in parts[1:]:
         q, d = q.unionByName(more_q), d.unionByName(more_d)
-    ranks = scoring.reciprocal_ranks(scores(q, d, policy), q)
-    return ranks.join(items.select("site", "genre", "doc_idx", "patient"), ["site", "genre", "doc_idx"])
+    return ranks(q, d, policy).join(items.select("site", "genre", "doc_idx", "patient"), ["site", "genre", "doc_idx"])
 
 
 def statistics(ranks: DataFrame, models: DataFrame, replicates: int = bootstrap.REPLICATES, seed: int = bootstrap.SEED) -> dict[str, DataFrame]:
@@ -140,7 +155,7 @@ def sensitivity(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, polici
     """Variance shares and the verdict on genre for each scoring policy and scope."""
     rows = None
     for policy in policies:
-        means = scoring.cell_means(scoring.reciprocal_ranks(scores(queries, chunks, policy), queries)).withColumn("policy", F.lit(policy))
+        means = scoring.cell_means(ranks(queries, chunks, policy)).withColumn("policy", F.lit(policy))
         rows = means if rows is None else rows.unionByName(means)
     by = ["policy", "scope"]
     shares = stats.decompose(stats.complete(stats.with_scope(rows, scopes), by), by)

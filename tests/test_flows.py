@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import encode
+from corvane.operators import encode, scoring
 from corvane.plans import flows, views
+from corvane.plans.catalogue import QUERIES
 from corvane.sources import notes
 
 
@@ -52,3 +54,17 @@ def test_documents_without_windows_have_a_mean_vector_of_zeros(spark):
     assert got[2] == [0.0, 0.0] and got[1] == [-1.0, 0.0] and abs(got[0][0] - 0.5**0.5) < 1e-12
     ranks = {r.doc_idx: r["rank"] for r in scoring.reciprocal_ranks(flows.scores(q, d, "mean"), q).collect()}
     assert ranks == {0: 1, 1: None, 2: 2}
+
+
+@pytest.mark.parametrize("policy", flows.POLICIES)
+def test_ranks_equal_those_of_all_pairs(spark, sf, policy):
+    q, d = (x.where("model < 2") for x in views.varied(spark, sf))
+    columns = ["site", "genre", "model", "doc_idx", "rank", "rr", "hit1", "hit10"]
+    want = {tuple(r) for r in scoring.reciprocal_ranks(flows.scores(q, d, policy), q).select(columns).collect()}
+    assert want and {tuple(r) for r in flows.ranks(q, d, policy).select(columns).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["rr_maxsim", "rr_single_vector", "hit_at_k", "panel_mean_hit", "di_gap", "score_mean_pool", "score_single_random", "score_length_norm", "mean_center_mrr", "kendall_tau", "boot_mrr_ci", "genre_drop"])
+def test_no_row_for_a_pair_of_a_query_and_a_document(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "query_idx" not in plan
