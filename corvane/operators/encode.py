@@ -12,6 +12,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ BATCH = 256
 LIMIT = 510
 #: Places of a padded run.
 PADDED = 1 << 15
+#: Words that are Python objects at once, on top of one text's; a batch of Spark's may hold many times as many.
+WORDS = 1 << 18
 
 
 def hashed_encoder(dim: int = 64) -> Encoder:
@@ -91,10 +94,18 @@ def padded_runs(sizes: np.ndarray, most: int = PADDED, rows: int = BATCH) -> Ite
         a = b
 
 
+def slices(batch: pa.RecordBatch, words: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows that have about ``WORDS`` words together."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(words)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.flatnonzero(np.diff((np.cumsum(sizes + 1) - 1) // WORDS)) + 1
+    for a, b in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def encode_states(df: DataFrame, words: str, factory: Callable[[], TokenEncoder], pooling: str = "pooling", out: str = "v") -> DataFrame:
     """The rows with ``out``, unit vectors of the token arrays in ``words``, pooled as the column ``pooling`` says (``cls`` or ``mean``).
 
-    Texts get the encoder's marks, and those of about one length are padded to the longest of their
+    A batch is worked on in ``slices``. Texts get the encoder's marks, and those of about one length are padded to the longest of their
     run, so that little is computed for padding; the mask keeps padding out of the means.
     """
     names = [c for c in df.columns if c != words]
@@ -102,7 +113,7 @@ def encode_states(df: DataFrame, words: str, factory: Callable[[], TokenEncoder]
     def run(batches):
         model = factory()
         lead, tail = ([m] if m is not None else [] for m in (model.first, model.last))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, words)):
             seqs = [lead + model.ids(w or []) + tail for w in batch.column(words).to_pylist()]
             kinds, sizes = batch.column(pooling).to_pylist(), np.array([len(x) for x in seqs], np.int64)
             v = None

@@ -106,3 +106,15 @@ def test_vector_stores(spark, tmp_path):
     rows = vectors.by_position(windows).collect()
     assert [r.ids for r in rows] == [i for i in range(50) for _ in range(i % 3 + 1)]
     assert [vectors.buckets_for(n) for n in (0, 1_000_000, 1_000_001, 9_000_000)] == [1, 1, 2, 16]
+
+
+def test_few_words_are_python_objects_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(encode, "WORDS", 1000)
+    lengths = np.random.default_rng(4).integers(0, 120, 400)
+    batch = pa.record_batch([pa.array(range(401)), pa.array([["w"] * int(n) for n in lengths] + [None])], ["i", "words"])
+    parts = list(encode.slices(batch, "words"))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert len(parts) > 20 and max(sum(len(w or []) for w in p.column("words").to_pylist()) for p in parts) <= 1000 + 120
+    assert [p.num_rows for p in encode.slices(batch.slice(0, 0), "words")] == [0]
