@@ -92,13 +92,17 @@ def doc_frequency(spark, sf):
 
 @query
 def narrative_query(spark, sf):
-    return exclusion.narrative_queries(sampling.dedup_keep_first(sampling.scan_notes(views.notes(spark, sf))))
+    return flows.narrative_queries(views.notes(spark, sf), Stages(spark), _notes_now(spark, sf))
+
+
+def _notes_now(spark, sf):
+    """What stages of the documents as they are now are made of."""
+    return source_version(views.table(spark, sf, "documents")), "notes"
 
 
 def _excluded(spark, sf):
     """The stored pairs of the documents as they are now."""
-    made_of = (source_version(views.table(spark, sf, "documents")), "notes")
-    return flows.excluded_pairs(views.notes(spark, sf), Stages(spark), made_of)[0]
+    return flows.excluded_pairs(views.notes(spark, sf), Stages(spark), _notes_now(spark, sf))[0]
 
 
 @query

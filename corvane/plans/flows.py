@@ -60,6 +60,15 @@ def excluded_pairs(notes: DataFrame, stages: Stages | None = None, made_of: tupl
     return stages.table("pairs", made_of, lambda: exclusion.query_target_pairs(pool, chosen=queries).drop("text")), made_of
 
 
+def narrative_queries(notes: DataFrame, stages: Stages | None = None, made_of: tuple[str, ...] | None = None) -> DataFrame:
+    """``site, genre, src_order, query`` of the deduplicated notes, whose texts, sentences' words and word frequencies are stages, as in ``excluded_pairs``."""
+    stages, made_of = stages or Stages(notes.sparkSession), made_of or (uuid.uuid4().hex,)
+    unique = stages.table("unique_notes", made_of, lambda: sampling.dedup_keep_first(sampling.scan_notes(notes)).select(*sampling.CELL, "src_order", "text"))
+    split = stages.table("unique_sentences", made_of, lambda: exclusion.sentence_words(unique))
+    frequency = stages.table("unique_frequency", made_of, lambda: exclusion.sentence_frequency(split))
+    return exclusion.narrative_queries(unique, frequency=frequency, split=split)
+
+
 def matched_items(notes: DataFrame, seed: int = sampling.SEED, stages: Stages | None = None, made_of: tuple[str, ...] | None = None) -> DataFrame:
     """Notes to items: ``excluded_pairs``, cells matched in size and numbered."""
     stages = stages or Stages(notes.sparkSession)

@@ -5,6 +5,7 @@ from corvane.operators import encode, exclusion, scoring
 from corvane.plans import flows, views
 from corvane.plans.catalogue import QUERIES
 from corvane.sources import notes
+from corvane.sources.stages import Stages
 
 
 def test_notes_to_statistics(spark, sf):
@@ -78,3 +79,10 @@ def test_target_is_made_once(spark, sf):
     chosen = spark.createDataFrame([(0, "en", 1, 2)], "site int, genre string, src_order long, at int")
     plan = optimized(exclusion.query_target_pairs(views.notes(spark, sf), chosen=chosen))
     assert plan.count("array_join") == 1
+
+
+def test_narrative_queries_read_stored_texts(spark, sf, tmp_path):
+    stages = Stages(spark, str(tmp_path))
+    plan = optimized(flows.narrative_queries(views.notes(spark, sf), stages))
+    assert stages.made == ["unique_notes", "unique_sentences", "unique_frequency"]
+    assert "sha2" not in plan and "documents.parquet" not in plan
