@@ -33,6 +33,7 @@ unknown and of the last class; no documents give no rows.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,6 +61,8 @@ RATE = 0.4
 #: Counts that each bucket is taken to have beforehand, dealt as the classes are.
 BEFORE = 100.0
 MINIBATCH = 4096
+#: Exponentials of sums up to this, and of their negatives, are well within single precision.
+RANGE = 80.0
 BLOCK = 1 << 16
 FAN_IN, LEVELS = 32, 4
 #: The hash of the end token; a line feed is in no token.
@@ -232,6 +235,52 @@ def _inner_logits(p: Parameters, v: Vocabulary, c: dict, top: np.ndarray, classe
     return out
 
 
+class Tables:
+    """What a model gives for all tokens alike, made once: exponentials of the class weights, and logs of the probabilities inside classes.
+
+    A context's class probabilities are products of the exponentials, and no exponential is taken for a token. Where weights could
+    add up to what single precision can't hold, they are added up token by token instead.
+    """
+
+    def __init__(self, p: Parameters, v: Vocabulary):
+        self.p, self.v = p, v
+        most = sum(float(np.abs(p[f]).max(initial=0.0)) for f in FEATURES) + float(np.abs(v.class_bias).max())
+        self.powers = {f: np.exp(p[f]) for f in FEATURES} if most < RANGE else None
+        if self.powers:
+            self.powers["previous"] *= np.exp(v.class_bias)
+
+    def _weights(self, c: dict, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+        """What each class weighs after some tokens' contexts, and the sums of that."""
+        out = np.take(self.powers["previous"], c["previous"][rows], axis=0)
+        out *= np.take(self.powers["skip"], c["skip"][rows], axis=0)
+        out *= np.take(self.powers["pair"], c["pair"][rows], axis=0)
+        return out, out @ np.ones(CLASSES, np.float32)
+
+    def probabilities(self, c: dict, rows: slice, times: np.ndarray) -> np.ndarray:
+        """Those of each class after some tokens' contexts, each row so many times."""
+        if not self.powers:
+            return _softmax(_class_logits(self.p, self.v, c, rows)) * times[:, None]
+        out, total = self._weights(c, rows)
+        out *= (times / total)[:, None]
+        return out
+
+    def log_classes(self, c: dict, rows: slice, classes: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each token's class."""
+        if not self.powers:
+            return _log_softmax_at(_class_logits(self.p, self.v, c, rows), classes)
+        out, total = self._weights(c, rows)
+        return np.log(out[np.arange(len(out)), classes] / total)
+
+    @functools.cached_property
+    def inside(self) -> np.ndarray:
+        """Natural logs by the inner feature's bucket, class and place."""
+        classes = np.tile(np.arange(TOP_CLASSES), INNER)
+        logits = _inner_logits(self.p, self.v, {"inner": np.repeat(np.arange(INNER), TOP_CLASSES)}, np.arange(len(classes)), classes)
+        logits -= logits.max(axis=1, keepdims=True)
+        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        return logits.reshape(INNER, TOP_CLASSES, TOP_WIDTH)
+
+
 def _placed(v: Vocabulary, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class of each token, and place in it where it has a softmax, -1 else."""
     if not len(v.keys):
@@ -239,17 +288,16 @@ def _placed(v: Vocabulary, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(found >= 0, v.classes[found], CLASSES - 1).astype(np.int64), np.where(found >= 0, v.place[found], -1).astype(np.int64)
 
 
-def log_probabilities(p: Parameters, v: Vocabulary, hashes: np.ndarray, first: np.ndarray, found: np.ndarray) -> np.ndarray:
+def log_probabilities(p: Parameters, v: Vocabulary, hashes: np.ndarray, first: np.ndarray, found: np.ndarray, tables: Tables | None = None) -> np.ndarray:
     """Natural log of each listed token's probability; of the others, that of their class."""
-    c = contexts(hashes, first, p.buckets)
+    c, tables = contexts(hashes, first, p.buckets), tables or Tables(p, v)
     classes, place = _placed(v, found)
     out = np.zeros(len(hashes))
     for a in range(0, len(hashes), MINIBATCH):
         rows = slice(a, a + MINIBATCH)
-        out[rows] = _log_softmax_at(_class_logits(p, v, c, rows), classes[rows])
-        top = a + np.flatnonzero(place[rows] >= 0)
-        if len(top):
-            out[top] += _log_softmax_at(_inner_logits(p, v, c, top, classes), place[top])
+        out[rows] = tables.log_classes(c, rows, classes[rows])
+    top = place >= 0
+    out[top] += tables.inside[c["inner"][top], classes[top], place[top]]
     band = (found >= 0) & (place < 0)
     out[band] += v.inner[found[band]]
     return out
@@ -272,21 +320,31 @@ def observed(p: Parameters, v: Vocabulary, hashes: np.ndarray, first: np.ndarray
     p["inner"][:] += np.bincount((c["inner"][top] * TOP_CLASSES + classes[top]) * TOP_WIDTH + place[top], minlength=p["inner"].size).reshape(p["inner"].shape)
 
 
-def expected(out: Parameters, p: Parameters, v: Vocabulary, hashes: np.ndarray, first: np.ndarray) -> None:
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the bucket ``at``: rows of one bucket are put together and added up by pairs, pairs of pairs and so on."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    at, x = at[order], np.take(rows, order, axis=0)
+    heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    sizes = np.diff(np.append(heads, len(at)))
+    place = np.arange(len(at)) - np.repeat(heads, sizes)
+    left = np.repeat(sizes, sizes) - place
+    i, step = np.flatnonzero((place & 1 == 0) & (left > 1)), 1
+    while len(i):
+        x[i] += x[i + step]
+        step *= 2
+        i = i[(place[i] & (2 * step - 1) == 0) & (left[i] > step)]
+    out[at[heads]] += x[heads]
+
+
+def expected(out: Parameters, tables: Tables, hashes: np.ndarray, first: np.ndarray) -> None:
     """Adds what the model expects each feature and class to see together."""
-    c = contexts(hashes, first, p.buckets)
+    v, c = tables.v, contexts(hashes, first, out.buckets)
     times = 1 + seen_once(v, v.find(hashes)).astype(np.float32)
     for a in range(0, len(hashes), MINIBATCH):
         rows = slice(a, a + MINIBATCH)
-        g = _softmax(_class_logits(p, v, c, rows))
-        g *= times[rows, None]
+        g = tables.probabilities(c, rows, times[rows])
         for f in FEATURES:
-            at = c[f][rows]
-            order = np.argsort(at.astype(np.uint16), kind="stable")
-            tails = np.flatnonzero(np.append(at[order][1:] != at[order][:-1], True))
-            sums = np.cumsum(np.take(g, order, axis=0), axis=0)[tails]
-            sums[1:] -= sums[:-1].copy()
-            out[f][at[order][tails]] += sums
+            _add_rows(out[f], c[f][rows], g)
 
 
 def _sums(v: Vocabulary, flat: np.ndarray | None):
@@ -294,10 +352,11 @@ def _sums(v: Vocabulary, flat: np.ndarray | None):
 
     def run(batches):
         p, out, some = Parameters(v.total, flat), Parameters(v.total, kind=np.float64), False
+        tables = None if flat is None else Tables(p, v)
         for _, data, offsets in K.chunks(batches):
             hashes, first = _tokens(data, offsets)
             some = True
-            observed(out, v, hashes, first) if flat is None else expected(out, p, v, hashes, first)
+            observed(out, v, hashes, first) if tables is None else expected(out, tables, hashes, first)
         part = TaskContext.get().partitionId()
         for b, a in enumerate(range(0, len(out.flat), BLOCK) if some else ()):
             values = out.flat[a : a + BLOCK].astype(np.float32)
@@ -370,13 +429,14 @@ def _score(flat: np.ndarray, v: Vocabulary):
 
     def run(batches):
         p = Parameters(v.total, flat)
+        tables = Tables(p, v)
         z = v.total + ADD * (v.distinct + 1)
         for rows, data, offsets in K.chunks(batches):
             hashes, first = _tokens(data, offsets)
             found = v.find(hashes)
             known = found >= 0
             base = np.where(known, np.log10((v.counts[found] + ADD) / z), 0.0) if len(v.keys) else np.zeros(len(hashes))
-            model = log_probabilities(p, v, hashes, first, found) / np.log(10)
+            model = log_probabilities(p, v, hashes, first, found, tables) / np.log(10)
             of, h = K.owner(first)[~known], hashes[~known]
             order = np.lexsort((h, of))
             of, h = of[order], h[order]

@@ -284,6 +284,40 @@ def test_lm_probabilities_sum_to_one():
     assert np.isclose(one[2], np.log(first[2, v.classes[2]]) + np.log(lmscore._softmax(lmscore._inner_logits(p, v, c, np.array([2]), v.classes[:3].astype(int)))[0, v.place[2]]), atol=1e-4)
 
 
+@pytest.mark.parametrize("scale", [1.0, 100.0])
+def test_lm_tables_equal_token_by_token_logits(scale):
+    r = np.random.default_rng(3)
+    n = 900
+    keys = np.sort(r.integers(1, 1 << 62, n).astype(np.uint64))
+    classes = np.where(np.arange(n) < 600, np.arange(n) % lmscore.TOP_CLASSES, lmscore.TOP_CLASSES + np.arange(n) % 5)
+    place = np.where(np.arange(n) < 600, np.arange(n) // lmscore.TOP_CLASSES, -1)
+    v = lmscore.Vocabulary(keys, 1 + np.arange(n) % 3, classes.astype(np.int16), place.astype(np.int16), np.full(n, -0.5), 2 * n, n, 0, 0.5, 1.0, r.standard_normal(lmscore.CLASSES).astype(np.float32), r.standard_normal((lmscore.TOP_CLASSES, lmscore.TOP_WIDTH)).astype(np.float32))
+    p = lmscore.Parameters(1 << 20)
+    p.flat[:] = scale * r.standard_normal(len(p.flat))
+    tables = lmscore.Tables(p, v)
+    assert (tables.powers is None) == (scale > 1)
+    hashes = r.choice(keys, 5000, p=1 / np.arange(1, n + 1) / (1 / np.arange(1, n + 1)).sum())
+    hashes[::17] = r.integers(1, 1 << 62, len(hashes[::17])).astype(np.uint64)
+    first, found = np.array([0, 1, 2000, 5000]), v.find(hashes)
+    c = lmscore.contexts(hashes, first, p.buckets)
+    at, of = lmscore._placed(v, found)
+    logits = lmscore._class_logits(p, v, c, slice(None)).astype(np.float64)
+    logits -= np.log(np.exp(logits - logits.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + logits.max(axis=1, keepdims=True)
+    want = logits[np.arange(5000), at]
+    top = np.flatnonzero(of >= 0)
+    inner = lmscore._inner_logits(p, v, c, top, at).astype(np.float64)
+    most = inner.max(axis=1)
+    want[top] += inner[np.arange(len(top)), of[top]] - most - np.log(np.exp(inner - most[:, None]).sum(axis=1))
+    want[(found >= 0) & (of < 0)] -= 0.5
+    assert np.allclose(lmscore.log_probabilities(p, v, hashes, first, found, tables), want, rtol=1e-5, atol=1e-4)
+    out = lmscore.Parameters(1 << 20, kind=np.float64)
+    lmscore.expected(out, tables, hashes, first)
+    for f in lmscore.FEATURES:
+        sums = np.zeros(p[f].shape)
+        np.add.at(sums, c[f], np.exp(logits) * (1 + lmscore.seen_once(v, found))[:, None])
+        assert np.allclose(out[f], sums, rtol=1e-4, atol=1e-4)
+
+
 # --- quality
 
 
