@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import computed, tokens
-from ..operators import audit, bootstrap, encode, exclusion, geometry, sampling, scoring, stats
+from ..operators import audit, bootstrap, encode, exclusion, geometry, sampling, scoring, stats, tiles
 from ..sources.stages import Stages
 
 # The panel's models in order: family, pooling, query prefix, document prefix.
@@ -112,20 +112,30 @@ def scores(queries: DataFrame, chunks: DataFrame, policy: str = "maxsim", seed:
     raise ValueError(f"{policy} is none of {', '.join(POLICIES)}")
 
 
-def ranks(queries: DataFrame, chunks: DataFrame, policy: str = "maxsim", seed: int = 42, k: int = scoring.TOP_K) -> DataFrame:
-    """``scoring.reciprocal_ranks`` of ``scores``, by tiles: no row is made for a pair of a query and a document."""
-    if policy == "maxsim":
-        return scoring.ranked(queries, chunks, k)
+def blocks_for(queries: DataFrame, chunks: DataFrame) -> tuple[int, int]:
+    """Blocks that do for any policy, from the given rows alone: none has more documents' rows than queries and windows together."""
+    every = queries.select(*scoring.KEYS, "v").unionByName(chunks.select(*scoring.KEYS, "v"))
+    return tiles.block_counts(queries, every)
+
+
+def ranks(queries: DataFrame, chunks: DataFrame, policy: str = "maxsim", seed: int = 42, k: int = scoring.TOP_K, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """``scoring.reciprocal_ranks`` of ``scores``, by tiles: no row is made for a pair of a query and a document.
+
+    Without ``blocks`` they follow from the given rows, so that what a policy makes of these isn't made once more to be counted.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"{policy} is none of {', '.join(POLICIES)}")
+    blocks = blocks or (tiles.block_counts(queries, chunks) if policy == "maxsim" else blocks_for(queries, chunks))
     if policy == "mean":
-        return scoring.ranked(queries, scoring.mean_windows(chunks, queries), k)
-    if policy == "single-random":
-        return scoring.ranked(queries, scoring.random_window(chunks, seed), k)
-    if policy == "length-norm":
+        chunks = scoring.mean_windows(chunks, queries)
+    elif policy == "single-random":
+        chunks = scoring.random_window(chunks, seed)
+    elif policy == "length-norm":
         curve = Stages(queries.sparkSession).table("null_curve", (uuid.uuid4().hex,), lambda: scoring.null_curve(queries, chunks, seed=seed))  # a few rows a cell, read by both sides alike
-        return scoring.ranked(queries, scoring.with_null(chunks, curve), k)
-    if policy == "centred":
-        return scoring.ranked(*geometry.centred(queries, chunks), k)
-    raise ValueError(f"{policy} is none of {', '.join(POLICIES)}")
+        return scoring.ranked(queries, scoring.with_null(chunks, curve), k, blocks)
+    elif policy == "centred":
+        queries, chunks = geometry.centred(queries, chunks)
+    return scoring.ranked(queries, chunks, k, blocks)
 
 
 def evaluate(items: DataFrame, models: DataFrame, encoders: dict[str, tuple[Callable, Callable]], policy: str = "maxsim", token_states: bool = False) -> DataFrame:
@@ -162,9 +172,9 @@ def statistics(ranks: DataFrame, models: DataFrame, replicates: int = bootstrap.
 
 def sensitivity(queries: DataFrame, chunks: DataFrame, scopes: DataFrame, policies: tuple[str, ...] = POLICIES) -> DataFrame:
     """Variance shares and the verdict on genre for each scoring policy and scope."""
-    rows = None
+    rows, blocks = None, blocks_for(queries, chunks)
     for policy in policies:
-        means = scoring.cell_means(ranks(queries, chunks, policy)).withColumn("policy", F.lit(policy))
+        means = scoring.cell_means(ranks(queries, chunks, policy, blocks=blocks)).withColumn("policy", F.lit(policy))
         rows = means if rows is None else rows.unionByName(means)
     by = ["policy", "scope"]
     shares = stats.decompose(stats.complete(stats.with_scope(rows, scopes), by), by)

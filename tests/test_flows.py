@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import encode, exclusion, scoring
+from corvane.operators import encode, exclusion, scoring, tiles
 from corvane.plans import flows, views
 from corvane.plans.catalogue import QUERIES
 from corvane.sources import notes
@@ -86,3 +86,17 @@ def test_narrative_queries_read_stored_texts(spark, sf, tmp_path):
     plan = optimized(flows.narrative_queries(views.notes(spark, sf), stages))
     assert stages.made == ["unique_notes", "unique_sentences", "unique_frequency"]
     assert "sha2" not in plan and "documents.parquet" not in plan
+
+
+@pytest.mark.parametrize("policy", ["mean", "single-random", "length-norm", "centred"])
+def test_blocks_are_counted_from_the_given_rows(spark, sf, monkeypatch, policy):
+    q, d = (x.where("model = 0") for x in views.varied(spark, sf))
+    counted = []
+
+    def count(queries, chunks):
+        counted.append(" ".join(x._jdf.queryExecution().optimizedPlan().toString() for x in (queries, chunks)))
+        return 2, 1
+
+    monkeypatch.setattr(tiles, "block_counts", count)
+    flows.ranks(q, d, policy)
+    assert len(counted) == 1 and not any(x in counted[0] for x in ("Join", "Window", "Aggregate"))
